@@ -31,7 +31,8 @@ def duplicate_soft(df: DataFrame, probability: str = "soft_target", weight: str
         F.struct(F.lit(1).alias("label"), (w * p).alias("weight")),
         F.struct(F.lit(0).alias("label"), (w * (1 - p)).alias("weight")),
     )
-    return df.withColumn("_d", F.explode(pair)).select("*", "_d.label", "_d.weight").drop("_d")
+    kept = [c for c in df.columns if c not in ("label", "weight")]
+    return df.withColumn("_d", F.explode(pair)).select(*kept, "_d.label", "_d.weight")
 
 
 # ---- standardiser ------------------------------------------------------------------------
@@ -191,7 +192,7 @@ def knn(df: DataFrame, k: int, vector: str, row_id: str = "row_id", block_rows:
     placed = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     queries = placed.select(F.col("_b").alias("q"), others.alias("r"), "id", "x")
-    references = placed.select(others.alias("q"), F.col("_b").alias("r"), "id", "x")
+    references = placed.select(others.alias("q"), F.col("_b").alias("r"), F.col("id").alias("id"), F.col("x").alias("x"))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: dict[str, list] = {"id": [], "neighbour": [], "distance": []}

@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dualcast.operators import control, evaluate, features, forecast, prepare, router
 from dualcast.operators.blocks import attach, over_history
 from dualcast.plans.fixtures import daily_series, hourly_series
-from dualcast.session import ensure_checkpoint_dir
+from dualcast.session import materialize, scratch  # noqa: F401
 from dualcast.settings import DAILY, HOURLY, KEYS, TARGET, Family
 
 LAGS = 16
 SCORE_LAGS = 4
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder next to the shared checkpoints."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
-
-
 def panel(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFrame:
     return hourly_series(spark, sf_dir) if family is HOURLY else daily_series(spark, sf_dir)
 
@@ -64,7 +56,7 @@ def segment_table(split: DataFrame, table: DataFrame, family: Family, lags: int
 
 
 def forecasts(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFrame:
-    split = split_panel(spark, sf_dir, family)
+    split = materialize(split_panel(spark, sf_dir, family))
     return segment_table(split, base_table(split, family), family)
 
 
@@ -86,8 +78,13 @@ def scored(table: DataFrame, lags: int = SCORE_LAGS) -> DataFrame:
     return short.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_short")))).drop("_short")
 
 
+def scored_table(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFrame:
+    """The feature table with its scores, stored once for all later passes."""
+    return materialize(scored(router_table(spark, sf_dir, family)))
+
+
 def scored_segment(spark: SparkSession, sf_dir: str, name: str, family: Family = HOURLY) -> DataFrame:
-    segment = scored(router_table(spark, sf_dir, family)).where(F.col("split") == name)
+    segment = scored_table(spark, sf_dir, family).where(F.col("split") == name)
     return control.relative_step(segment)
 
 
@@ -99,7 +96,7 @@ def base_threshold(table: DataFrame, target: float = TARGET, score: str = "score
 
 def routed_test(spark: SparkSession, sf_dir: str, eta: float = 0.05, family: Family = HOURLY) -> DataFrame:
     """The test segment with forecast and usage columns of every method that needs no fitted model."""
-    table = scored(router_table(spark, sf_dir, family))
+    table = scored_table(spark, sf_dir, family)
     table = table.where(F.col("split").isin("calibration", "test"))
     threshold = base_threshold(table)
     past_threshold = base_threshold(table, score="past_loss")
@@ -111,7 +108,7 @@ def routed_test(spark: SparkSession, sf_dir: str, eta: float = 0.05, family: Fam
     rows = evaluate.apply_routed(rows, "past_loss_router", F.col("past_loss") < past_threshold)
     rows = evaluate.apply_routed(rows, "static_router", F.col("score") < threshold)
     rows = evaluate.apply_routed(rows, "adaptive_router", F.col("score") < F.col("effective_threshold"))
-    return evaluate.constrained_oracle(evaluate.unconstrained_oracle(rows))
+    return materialize(evaluate.constrained_oracle(evaluate.unconstrained_oracle(rows)))
 
 
 def series_results(spark: SparkSession, sf_dir: str, eta: float = 0.05, family: Family = HOURLY) -> DataFrame:
