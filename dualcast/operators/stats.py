@@ -20,7 +20,7 @@ BROADCAST_CELLS = 2_000_000
 
 def metric_matrix(df: DataFrame, methods: Sequence[str], metric: str = "rmsse") -> DataFrame:
     """One row per series, one column per method; a missing or doubled pair is an error."""
-    wide = df.groupBy("series_id").agg(
+    wide = df.where(F.col("method").isin(*methods)).groupBy("series_id").agg(
         *[F.max(F.when(F.col("method") == m, F.col(metric))).alias(m) for m in methods],
         F.count(F.lit(1)).alias("_n"),
     )
