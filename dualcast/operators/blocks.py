@@ -19,10 +19,10 @@ BLOCK_ROWS = 8192
 
 
 def with_history(
-    df: DataFrame, rows_back: int, index: str = "time_index", block_rows: int = BLOCK_ROWS
+    df: DataFrame, rows_back: int, index: str = "time_index", block_rows: int | None = None
 ) -> DataFrame:
     """Add ``_block`` and ``_context``; rows near a block's end also go to the next block as context."""
-    size = max(block_rows, rows_back)
+    size = max(block_rows or BLOCK_ROWS, rows_back)
     own = F.expr(f"`{index}` div {size}")
     near_end = F.expr(f"`{index}` % {size} >= {size - rows_back}")
     targets = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
@@ -35,7 +35,7 @@ def over_history(
     build: Callable[[DataFrame, WindowSpec], DataFrame],
     keys: Sequence[str] = KEYS,
     index: str = "time_index",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Run ``build(df, window)`` with exact look-backs; a frame that is already in blocks is used as is."""
     window = Window.partitionBy(*keys, "_block").orderBy(index)
@@ -52,7 +52,7 @@ def attach(
     rows: str = "n",
     how: str = "inner",
     index: str = "time_index",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Join one row per series to a panel without piling a long series into one task.
 
@@ -61,6 +61,7 @@ def attach(
     a large side still meets at most one block of panel rows per key. On a frame that is already in
     blocks the join reuses the partitioning of its windows.
     """
+    block_rows = block_rows or BLOCK_ROWS
     blocked = "_block" in df.columns
     slot = "_block" if blocked else "_slot"
     last = F.expr(f"cast(`{rows}` as bigint) div {block_rows}")

@@ -62,13 +62,19 @@ def mean_squared_difference(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFr
 def runs(df: DataFrame, predicate: Column, keys: Sequence[str] = KEYS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Maximal runs of consecutive rows for which the predicate holds: start, end and length.
 
-    Runs are found inside blocks of rows; pieces that touch are then joined over ever larger blocks,
-    so each task sees a bounded part of a series.
+    Runs are found inside blocks of rows. Only pieces at a block's border can continue, at most two per
+    block, so they alone are joined over larger blocks and at last over the whole series.
     """
     pieces = df.where(predicate).select(*keys, F.col("time_index").alias("start"), F.col("time_index").alias("end"))
+    found = None
     for size in (block_rows, block_rows * block_rows):
-        pieces = _join_touching(pieces, keys, F.expr(f"start div {size}"))
-    return _join_touching(pieces, keys, None).withColumn("length", F.col("end") - F.col("start") + 1)
+        joined = _join_touching(pieces, keys, F.expr(f"start div {size}"))
+        at_border = (F.col("start") % size == 0) | (F.col("end") % size == size - 1)
+        inside = joined.where(~at_border)
+        found = inside if found is None else found.unionByName(inside)
+        pieces = joined.where(at_border)
+    found = found.unionByName(_join_touching(pieces, keys, None))
+    return found.withColumn("length", F.col("end") - F.col("start") + 1)
 
 
 def _join_touching(pieces: DataFrame, keys: Sequence[str], block: Column | None) -> DataFrame:

@@ -54,7 +54,7 @@ def constrained_oracle(df: DataFrame, target: float = TARGET, step: str = "step"
     total = df.count()
     complex_rows = total - round(target * total)
     ranked = global_rank(
-        df.withColumn("_advantage", advantage), [F.col("_advantage").desc(), F.col(step), F.col("series_id")], "_rank"
+        df.withColumn("_advantage", advantage), [F.col("_advantage").desc(), F.col(step), F.col("series_id")], "_rank", rows=total
     )
     return apply_routed(ranked, "constrained_oracle", F.col("_rank") >= complex_rows).drop("_advantage", "_rank")
 

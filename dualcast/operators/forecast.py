@@ -149,19 +149,24 @@ def fit_ridge_mllib(lagged: DataFrame, alpha: float, label: str = "z") -> RidgeM
     return RidgeModel(len(model.coefficients), alpha, tuple(map(float, model.coefficients)), float(model.intercept))
 
 
-def linear_predictions(models: Sequence[RidgeModel]):
-    """Arrow UDF: lag arrays (newest first) to one prediction per model; shorter windows use a prefix."""
-    width = max(m.window for m in models)
-    weights = np.zeros((width, len(models)))
-    for position, model in enumerate(models):
-        weights[: model.window, position] = model.coefficients
-    intercepts = np.array([m.intercept for m in models])
+def linear_predictions(models: dict[int, Sequence[RidgeModel]]):
+    """Arrow UDF of (lags newest first, group) to one prediction per model of the row's group."""
+    width = max(m.window for fitted in models.values() for m in fitted)
+    tables = {}
+    for group, fitted in models.items():
+        weights = np.zeros((width, len(fitted)))
+        for position, model in enumerate(fitted):
+            weights[: model.window, position] = model.coefficients
+        tables[group] = weights, np.array([m.intercept for m in fitted])
 
     @F.pandas_udf("array<double>")
-    def predict(lags: pd.Series) -> pd.Series:
-        if len(lags) == 0:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.stack(lags.to_numpy())[:, :width] @ weights + intercepts))
+    def predict(lags: pd.Series, group: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(lags), index=lags.index, dtype=object)
+        for key, rows in group.groupby(group).groups.items():
+            weights, intercepts = tables[int(key)]
+            predicted = np.stack(lags.loc[rows].to_numpy())[:, :width] @ weights + intercepts
+            out.loc[rows] = pd.Series(list(predicted), index=rows)
+        return out
 
     return predict
 
@@ -169,7 +174,7 @@ def linear_predictions(models: Sequence[RidgeModel]):
 def predict_ridge(df: DataFrame, model: RidgeModel, name: str = "simple_prediction", keys: Sequence[str] = KEYS) -> DataFrame:
     """Forecast in raw units for rows with ``z``, ``median`` and ``scale_used``."""
     lagged = lag_windows(df, model.window, "z", keys)
-    predicted = linear_predictions([model])(F.col("lags"))[0]
+    predicted = linear_predictions({0: [model]})("lags", F.lit(0))[0]
     return lagged.withColumn(name, predicted * F.col("scale_used") + F.col("median")).drop("lags")
 
 
@@ -199,10 +204,7 @@ def ridge_grid(
     lagged = lag_windows(base.select(*keys, "time_index", "value"), widest, "value", keys)
     rows = attach(lagged, table, keys).where(F.col("time_index").between(F.col("validation_start"), F.col("validation_end")))
     rows = rows.withColumn("lags", F.transform("lags", lambda x: (x - F.col("median")) / F.col("scale_used")))
-    scored = None
-    for fold, fitted in models.items():
-        part = rows.where(F.col("fold") == fold).withColumn("_p", linear_predictions(fitted)(F.col("lags")))
-        scored = part if scored is None else scored.unionByName(part)
+    scored = rows.withColumn("_p", linear_predictions(models)("lags", "fold"))
     names = F.array(*[F.struct(F.lit(int(w)).alias("window"), F.lit(float(a)).alias("alpha")) for w, a in grid])
     errors = scored.select(
         *keys, "fold", "rmsse_denominator", "median", "scale_used", "value", F.posexplode("_p").alias("_m", "_p")

@@ -115,22 +115,24 @@ def stratified_hash_sample(
     """Registered sample: rank by digest inside each stratum, keep its allocation, restore source order."""
     allocation = proportional_allocation(df.groupBy(strata).agg(F.count(F.lit(1)).alias("rows")), total, strata)
     candidates = df.withColumn("selection_digest", selection_digest(dataset_id, strata, seed))
-    order = [F.col("selection_digest"), F.col("series_id")]
-    # first cut inside digest buckets: a stratum of any size is ranked by many tasks, and at most
-    # 256 * allocation rows of it survive to the final ranking
-    bucket = Window.partitionBy(strata, F.substring("selection_digest", -2, 2)).orderBy(*order)
-    survivors = (
-        candidates.join(allocation.select(strata, "allocation"), strata)
-        .withColumn("_r", F.row_number().over(bucket)).where(F.col("_r") <= F.col("allocation"))
+    # digests are uniform, so counts per digest prefix tell where a stratum's allocation ends; only the
+    # rows up to that prefix are ranked, however many rows the stratum has
+    prefix = F.substring("selection_digest", 1, 4)
+    upto = Window.partitionBy(strata).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
+    counts = candidates.groupBy(strata, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_c"))
+    reached = counts.withColumn("_upto", F.sum("_c").over(upto)).join(allocation.select(strata, "allocation"), strata)
+    cutoff = reached.groupBy(strata, "allocation").agg(
+        F.min(F.when(F.col("_upto") >= F.col("allocation"), F.col("_prefix"))).alias("_cutoff")
     )
-    whole = Window.partitionBy(strata).orderBy(*order)
+    survivors = candidates.join(cutoff, strata).where(prefix <= F.col("_cutoff"))
+    whole = Window.partitionBy(strata).orderBy("selection_digest", "series_id")
     chosen = (
         survivors.withColumn("selection_rank_within_type", F.row_number().over(whole))
         .where(F.col("selection_rank_within_type") <= F.col("allocation"))
     )
     # ``total`` rows are left
     ordered = chosen.withColumn("sample_order", F.row_number().over(Window.orderBy(source_order)))
-    return ordered.drop("_r", "allocation")
+    return ordered.drop("_cutoff", "allocation")
 
 
 def sample_id(

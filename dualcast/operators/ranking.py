@@ -35,18 +35,19 @@ def _sorted_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
 
 
 def global_rank(
-    df: DataFrame, order: Sequence[Column], name: str = "position", small_rows: int = HOT_ROWS
+    df: DataFrame, order: Sequence[Column], name: str = "position", small_rows: int = HOT_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
-    """0-based position of each row in the whole table's order."""
-    if not exceeds(df, [], small_rows):
+    """0-based position of each row in the whole table's order; ``rows`` is the row count where it is known."""
+    if not (exceeds(df, [], small_rows) if rows is None else rows > small_rows):
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
-    rows = _sorted_rows(df, order)
+    numbered = _sorted_rows(df, order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+    offsets = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
     # one row per sort partition: bounded by the partition count, never by the data
-    joined = rows.join(F.broadcast(offsets), "_part")
+    joined = numbered.join(F.broadcast(offsets), "_part")
     return joined.withColumn(name, F.col("_offset") + F.col("_pos")).drop("_part", "_pos", "_offset")
 
 

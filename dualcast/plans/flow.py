@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dualcast.operators import control, evaluate, features, forecast, prepare, router
 from dualcast.operators.blocks import attach, over_history
+from dualcast.operators.ranking import exact_quantiles
 from dualcast.plans.fixtures import daily_series, hourly_series
-from dualcast.session import materialize, scratch  # noqa: F401
+from dualcast.session import scratch
 from dualcast.settings import DAILY, HOURLY, KEYS, TARGET, Family
 
 LAGS = 16
 SCORE_LAGS = 4
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def forget() -> None:
+    """Drop the list of stored stage tables, so that the next query builds its own."""
+    _STORED.clear()
+
+
+def stage(spark: SparkSession, sf_dir: str, name: str, source: str, build) -> DataFrame:
+    """A stage table, written once per session and state of its source file and then read by every later stage."""
+    state = spark.read.parquet(f"{sf_dir}/{source}.parquet").select(
+        "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
+    ).distinct().orderBy("file_path").collect()  # one row per source file
+    key = (spark.sparkContext.applicationId, name, tuple(map(tuple, state)))
+    if key in _STORED:
+        try:
+            return spark.read.parquet(_STORED[key])
+        except AnalysisException:  # the folder has been cleaned up since
+            del _STORED[key]
+    table, path = build(), scratch(spark)
+    table.write.parquet(path)
+    _STORED[key] = path
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def panel(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFrame:
     return hourly_series(spark, sf_dir) if family is HOURLY else daily_series(spark, sf_dir)
 
@@ -23,6 +50,16 @@ def split_panel(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> Da
     return prepare.chronological_split(panel(spark, sf_dir, family))
 
 
+def _source(family: Family) -> str:
+    return "events" if family is HOURLY else "orders"
+
+
+def stored_split(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFrame:
+    return stage(
+        spark, sf_dir, f"split/{family.dataset_id}", _source(family), lambda: split_panel(spark, sf_dir, family)
+    )
+
+
 def base_table(split: DataFrame, family: Family) -> DataFrame:
     """Everything a row needs from its series: base scaler, seasonal scales and the series length."""
     scaler = prepare.fit_robust_scaler(split).select(*KEYS, "median", "scale_used")
@@ -56,7 +93,7 @@ def segment_table(split: DataFrame, table: DataFrame, family: Family, lags: int
 
 
 def forecasts(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFrame:
-    split = materialize(split_panel(spark, sf_dir, family))
+    split = stored_split(spark, sf_dir, family)
     return segment_table(split, base_table(split, family), family)
 
 
@@ -80,7 +117,10 @@ def scored(table: DataFrame, lags: int = SCORE_LAGS) -> DataFrame:
 
 def scored_table(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFrame:
     """The feature table with its scores, stored once for all later passes."""
-    return materialize(scored(router_table(spark, sf_dir, family)))
+    return stage(
+        spark, sf_dir, f"scored/{family.dataset_id}", _source(family),
+        lambda: scored(router_table(spark, sf_dir, family)),
+    )
 
 
 def scored_segment(spark: SparkSession, sf_dir: str, name: str, family: Family = HOURLY) -> DataFrame:
@@ -90,12 +130,19 @@ def scored_segment(spark: SparkSession, sf_dir: str, name: str, family: Family =
 
 def base_threshold(table: DataFrame, target: float = TARGET, score: str = "score") -> float:
     """The calibration quantile: one number."""
-    row = control.usage_thresholds(table.where(F.col("split") == "calibration"), [target], score).first()
-    return float(row["base_threshold"])
+    row = exact_quantiles(table.where(F.col("split") == "calibration"), [], score, [target]).first()
+    return float(row["quantiles"][0])
 
 
 def routed_test(spark: SparkSession, sf_dir: str, eta: float = 0.05, family: Family = HOURLY) -> DataFrame:
     """The test segment with forecast and usage columns of every method that needs no fitted model."""
+    return stage(
+        spark, sf_dir, f"routed/{family.dataset_id}/{eta}", _source(family),
+        lambda: route_test(spark, sf_dir, eta, family),
+    )
+
+
+def route_test(spark: SparkSession, sf_dir: str, eta: float, family: Family) -> DataFrame:
     table = scored_table(spark, sf_dir, family)
     table = table.where(F.col("split").isin("calibration", "test"))
     threshold = base_threshold(table)
@@ -108,7 +155,7 @@ def routed_test(spark: SparkSession, sf_dir: str, eta: float = 0.05, family: Fam
     rows = evaluate.apply_routed(rows, "past_loss_router", F.col("past_loss") < past_threshold)
     rows = evaluate.apply_routed(rows, "static_router", F.col("score") < threshold)
     rows = evaluate.apply_routed(rows, "adaptive_router", F.col("score") < F.col("effective_threshold"))
-    return materialize(evaluate.constrained_oracle(evaluate.unconstrained_oracle(rows)))
+    return evaluate.constrained_oracle(evaluate.unconstrained_oracle(rows))
 
 
 def series_results(spark: SparkSession, sf_dir: str, eta: float = 0.05, family: Family = HOURLY) -> DataFrame:

@@ -25,7 +25,7 @@ def d1(spark, sf):
 
 
 def _scaled_base(spark, sf):
-    split = materialize(flow.split_panel(spark, sf))
+    split = flow.stored_split(spark, sf)
     scaler = prepare.fit_robust_scaler(split).join(_base_counts(split), list(KEYS))
     rows = prepare.scale_by(split.where(F.col("split") == "base_train"), scaler, length="n")
     return split, rows.join(_base_counts(split), list(KEYS))
@@ -100,7 +100,7 @@ def d5(spark, sf):
 
 
 def _boosted(spark, sf, trees=5):
-    split = materialize(flow.split_panel(spark, sf))
+    split = flow.stored_split(spark, sf)
     scaler = prepare.fit_robust_scaler(split).join(prepare.series_lengths(split), list(KEYS))
     lagged = materialize(prepare.lag_windows(prepare.scale_by(split, scaler, length="n"), 24, "z"))
     model = forecast.fit_boosted(
@@ -117,7 +117,7 @@ def d6(spark, sf):
 
 
 def _fold_inputs(spark, sf, max_window=48):
-    split = materialize(flow.split_panel(spark, sf))
+    split = flow.stored_split(spark, sf)
     base = split.where(F.col("split") == "base_train")
     folds = prepare.fold_schedule(_base_counts(split), max_window, 24, 168, 24)
     return base, folds, prepare.fold_scalers(base, folds, 24)

@@ -90,7 +90,7 @@ SELECT split, series_id, count(*) AS rows, {o.r('sum(value)', 'total', 2)} FROM
 WHERE split IN ('base_train', 'test') GROUP BY 1, 2"""))
 def a5(spark, sf):
     path = flow.scratch(spark)
-    tables.write_panel(flow.split_panel(spark, sf), path)
+    tables.write_panel(flow.stored_split(spark, sf), path)
     panel = tables.read_panel(spark, path, ["base_train", "test"], ["series_id", "value", "split"])
     return rounded(panel.groupBy("split", "series_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total")), "total", 2)
 
@@ -101,7 +101,7 @@ MANIFEST_SCHEMA = "series_id string, total_length bigint, " + ", ".join(f"{s}_co
 @query("a6_a10_table_csv", o.with_(o.HOURLY_SPLIT + o.MANIFEST, "SELECT series_id, total_length, " + ", ".join(
     f"{s}_count" for s in SPLITS) + " FROM manifest"))
 def a6(spark, sf):
-    manifest = prepare.split_manifest(flow.split_panel(spark, sf))
+    manifest = prepare.split_manifest(flow.stored_split(spark, sf))
     path = flow.scratch(spark)
     tables.write_table_csv(manifest.select("series_id", "total_length", *[f"{s}_count" for s in SPLITS]), path)
     return tables.read_table_csv(spark, path, MANIFEST_SCHEMA, ["series_id", "total_length"])
@@ -407,7 +407,7 @@ SCALER = "median q1 q3 iqr scale_used"
 @query("c8_robust_scaler", o.with_(o.HOURLY_BASE, f"""
 SELECT series_id, 'base_train' AS source_split, source_start, source_end, source_count, {o.rs(SCALER)}, zero_iqr_fallback FROM scaler"""))
 def c8(spark, sf):
-    return rounded(prepare.fit_robust_scaler(flow.split_panel(spark, sf)).drop("dataset_id"), SCALER)
+    return rounded(prepare.fit_robust_scaler(flow.stored_split(spark, sf)).drop("dataset_id"), SCALER)
 
 
 @query("c9_scaler_std_fallback", o.with_(o.SUPPLIER_PANEL + o.SPLIT + o.base(7), f"""
@@ -421,7 +421,7 @@ def c9(spark, sf):
 SELECT series_id, time_index, {o.r('(value - median) / scale_used', 'z')}, {o.r('value', 'back', 4)}
 FROM split JOIN scaler USING (series_id)"""))
 def c10(spark, sf):
-    split = flow.split_panel(spark, sf)
+    split = flow.stored_split(spark, sf)
     scaler = prepare.fit_robust_scaler(split).join(prepare.series_lengths(split), list(KEYS))
     scaled = prepare.scale_by(split, scaler, length="n").withColumn("back", prepare.unscale("z"))
     return rounded(rounded(scaled.select("series_id", "time_index", "z", "back"), "z"), "back", 4)
@@ -431,7 +431,7 @@ def c10(spark, sf):
 SELECT series_id, source_start = base_train_start AND source_end = base_train_end AND source_count = base_train_count AS range_matches
 FROM scaler JOIN manifest USING (series_id)"""))
 def c11(spark, sf):
-    split = flow.split_panel(spark, sf)
+    split = flow.stored_split(spark, sf)
     return prepare.check_scaler(prepare.fit_robust_scaler(split), prepare.split_manifest(split)).drop("dataset_id")
 
 
@@ -473,7 +473,7 @@ def c13(spark, sf):
 @query("c14_seasonal_scales", o.with_(o.HOURLY_BASE, f"""
 SELECT series_id, {o.r('rmsse_denominator', 'rmsse_denominator', 4)}, {o.r('mase_denominator', 'mase_denominator', 4)} FROM scales"""))
 def c14(spark, sf):
-    return rounded(prepare.seasonal_scales(flow.split_panel(spark, sf), 24).drop("dataset_id"), "rmsse_denominator mase_denominator", 4)
+    return rounded(prepare.seasonal_scales(flow.stored_split(spark, sf), 24).drop("dataset_id"), "rmsse_denominator mase_denominator", 4)
 
 
 FOLD_COLUMNS = """fold, n AS base_length, 0::BIGINT AS train_start, t - 1 AS train_end, t AS train_count, t AS validation_start,
@@ -526,7 +526,7 @@ SELECT series_id, fold, count(*) AS source_count, {o.r('quantile_cont(value, 0.5
 FROM (SELECT series_id, time_index, value, value - lag(value, 24) OVER (PARTITION BY series_id ORDER BY time_index) AS d FROM split)
 JOIN folds USING (series_id) WHERE time_index < t GROUP BY 1, 2"""))
 def c18(spark, sf):
-    split = flow.split_panel(spark, sf)
+    split = flow.stored_split(spark, sf)
     folds = prepare.fold_schedule(_base_counts(split), 168, 24, 168, 24)
     out = prepare.fold_scalers(split.where(F.col("split") == "base_train"), folds, 24)
     return rounded(rounded(longs(out.drop("dataset_id"), "fold"), SCALER), "rmsse_denominator", 4)

@@ -135,7 +135,7 @@ FROM (VALUES ('complex_prediction'), ('simple_residual_lag_16'), ('score'), ('co
 def h12(spark, sf):
     """Rebuild the calibration segment without the test rows and compare it with the stored one."""
     stored = flow.scored_segment(spark, sf, "calibration")
-    split = flow.split_panel(spark, sf)
+    split = flow.stored_split(spark, sf)
     known = materialize(split.where(F.col("split") != "test"))
     table = flow.base_table(known, flow.HOURLY)
     rebuilt = flow.scored(flow.segment_table(known, table, flow.HOURLY)).where(F.col("split") == "calibration")
