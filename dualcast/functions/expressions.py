@@ -22,6 +22,11 @@ def clip_probability(value: Column | str) -> Column:
     return clip(value, PROBABILITY_FLOOR, 1.0 - PROBABILITY_FLOOR)
 
 
+def tie_key(value: Column | str) -> Column:
+    """Sums over partitions differ in their last bits; equal metrics must stay ties when they are compared."""
+    return F.round(column(value), 12)
+
+
 def soft_target(advantage: Column | str, temperature: float) -> Column:
     """Sigmoid of the loss advantage over the temperature, with the exponent clipped at 40."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-clip(column(advantage) / F.lit(float(temperature)), -40.0, 40.0)))

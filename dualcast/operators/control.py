@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dualcast.functions.expressions import tie_key
 from dualcast.operators.blocks import attach, full_frame, over_history
 from dualcast.operators.ranking import exact_quantiles, exceeds
 from dualcast.session import materialize
@@ -351,9 +352,9 @@ def select_eta(
     ranked = summary.withColumns({"feasible": feasible, "_any": any_feasible})
     first = [
         F.when(F.col("_any"), ~F.col("feasible")),
-        F.when(~F.col("_any"), F.col("coverage_violation")),
-        F.col(loss), F.col("worst_rolling_violation"),
+        F.when(~F.col("_any"), tie_key("coverage_violation")),
+        tie_key(loss), tie_key("worst_rolling_violation"),
     ]
-    last = [] if short else [F.when(F.col("_any"), F.col("coverage_violation"))]
+    last = [] if short else [F.when(F.col("_any"), tie_key("coverage_violation"))]
     window = Window.partitionBy("dataset_id").orderBy(*first, *last, F.col("eta"))
     return ranked.withColumn("choice", F.row_number().over(window)).drop("_any")

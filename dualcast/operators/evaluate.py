@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dualcast.functions.expressions import smape_term
+from dualcast.functions.expressions import smape_term, tie_key
 from dualcast.operators.ranking import exact_quantiles, global_rank
 from dualcast.settings import KEYS, TARGET
 
@@ -124,7 +124,7 @@ def method_order(column: str = "method") -> Column:
 
 def rank_methods(metrics: DataFrame) -> DataFrame:
     """Ordinal rank by mean RMSSE; equal means keep the method order."""
-    window = Window.partitionBy("dataset_id").orderBy("mean_rmsse", method_order())
+    window = Window.partitionBy("dataset_id").orderBy(tie_key("mean_rmsse"), method_order())
     return metrics.withColumn("rmsse_rank", F.row_number().over(window))
 
 

@@ -14,6 +14,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegres
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dualcast.functions.expressions import tie_key
 from dualcast.operators.blocks import attach, over_history
 from dualcast.operators.features import past_moments
 from dualcast.operators.prepare import lag_windows
@@ -291,7 +292,7 @@ def tuning_summary(details: DataFrame, params: Sequence[str], metric: str = "mea
         F.count_distinct("fold").alias("folds"),
     )
     # one row per grid point
-    return summary.withColumn("choice", F.row_number().over(Window.orderBy("mean_rmsse", *params)))
+    return summary.withColumn("choice", F.row_number().over(Window.orderBy(tie_key("mean_rmsse"), *params)))
 
 
 def grid_edges(summary: DataFrame, params: Sequence[str]) -> DataFrame:

@@ -121,9 +121,10 @@ def stratified_hash_sample(
     upto = Window.partitionBy(strata).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
     counts = candidates.groupBy(strata, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_c"))
     reached = counts.withColumn("_upto", F.sum("_c").over(upto)).join(allocation.select(strata, "allocation"), strata)
-    cutoff = reached.groupBy(strata, "allocation").agg(
-        F.min(F.when(F.col("_upto") >= F.col("allocation"), F.col("_prefix"))).alias("_cutoff")
-    )
+    # "g" sorts after every digest: a stratum smaller than its allocation is kept whole
+    cutoff = reached.groupBy(strata, "allocation").agg(F.coalesce(
+        F.min(F.when(F.col("_upto") >= F.col("allocation"), F.col("_prefix"))), F.lit("g")
+    ).alias("_cutoff"))
     survivors = candidates.join(cutoff, strata).where(prefix <= F.col("_cutoff"))
     whole = Window.partitionBy(strata).orderBy("selection_digest", "series_id")
     chosen = (

@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dualcast.functions.expressions import clip_probability, column, soft_target
+from dualcast.functions.expressions import clip_probability, column, soft_target, tie_key
 from dualcast.operators.ranking import exact_quantiles, running_totals
 from dualcast.settings import FOREST_TREES, KEYS, SEED, TARGET, WEIGHT_CAP
 
@@ -306,20 +306,31 @@ def tuning_table(details: DataFrame, params: Sequence[str], metrics: Sequence[st
     )
 
 
+def _keys(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    kinds = dict(df.dtypes)
+    return [tie_key(c) if kinds[c] == "double" else F.col(c) for c in order]
+
+
 def select_best(summary: DataFrame, order: Sequence[str]) -> DataFrame:
     """Number the grid points by the listed keys; 1 is the choice."""
-    return summary.withColumn("choice", F.row_number().over(Window.orderBy(*order)))
+    return summary.withColumn("choice", F.row_number().over(Window.orderBy(*_keys(summary, order))))
 
 
 def select_feasible(
-    summary: DataFrame, order: Sequence[str], tolerance: float, violation: str = "maximum_coverage_violation"
+    summary: DataFrame, order: Sequence[str], tolerance: float, violation: str = "maximum_coverage_violation",
+    on_none: str = "error",
 ) -> DataFrame:
-    """One winner per method among the grid points within the tolerance; nulls sort last; none is an error."""
+    """One winner per method among the grid points within the tolerance; nulls sort last.
+
+    A method without any is an error, or stays without a winner with ``on_none="skip"``.
+    """
     ranked = summary.withColumn("feasible", F.col(violation) <= tolerance)
     window = Window.partitionBy("method").orderBy(
-        F.col("feasible").desc(), *[F.col(c).asc_nulls_last() for c in order]
+        F.col("feasible").desc(), *[c.asc_nulls_last() for c in _keys(summary, order)]
     )
     first = F.row_number().over(window) == 1
+    if on_none == "skip":
+        return ranked.withColumn("selected", first & F.col("feasible"))
     message = F.concat_ws(" ", F.lit("no feasible configuration for"), "method")
     chosen = F.when(first & ~F.col("feasible"), F.raise_error(message).cast("boolean")).otherwise(first)
     return ranked.withColumn("selected", chosen)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dualcast.functions.distributions import chi_square_tail, signed_rank_p
+from dualcast.functions.expressions import tie_key
 from dualcast.operators.evaluate import ORACLES, method_order
 from dualcast.operators.ranking import exact_quantiles, global_rank, running_totals
 from dualcast.settings import (
@@ -75,6 +76,7 @@ def bootstrap_ci(
 
 def average_rank(value: Column, partition: Sequence[str]) -> Column:
     """Rank within the partition, ties share their mean rank."""
+    value = tie_key(value)
     ties = F.count(F.lit(1)).over(Window.partitionBy(*partition, value))
     return F.rank().over(Window.partitionBy(*partition).orderBy(value)) + (ties - 1) / 2.0
 
@@ -100,7 +102,7 @@ def signed_ranks(pairs: DataFrame, by: Sequence[str] = ("comparator",), floor: f
     Equal sizes are first counted together, then one running count gives their mean rank.
     """
     by = list(by)
-    d = F.col("primary") - F.col("other")
+    d = tie_key(F.col("primary") - F.col("other"))
     kept = F.abs(d) > floor
     sizes = pairs.groupBy(*by, F.when(kept, F.abs(d)).alias("_size")).agg(
         F.count_if(d > floor).alias("_plus"), F.count_if(d < -floor).alias("_minus"), F.count(F.lit(1)).alias("_c"),
@@ -262,7 +264,7 @@ def completeness(df: DataFrame, datasets: int, methods: int) -> DataFrame:
 def dataset_ranks(df: DataFrame, metric: str = "mean_rmsse") -> DataFrame:
     """Ordinal rank over all methods and tie-averaged rank over the deployable ones, per dataset."""
     ordinal = df.withColumn(
-        "rank_all", F.row_number().over(Window.partitionBy("dataset_id").orderBy(metric, method_order()))
+        "rank_all", F.row_number().over(Window.partitionBy("dataset_id").orderBy(tie_key(metric), method_order()))
     )
     deployable = ordinal.where(~F.col("method").isin(*ORACLES))
     shared = deployable.withColumn("rank_deployable", average_rank(F.col(metric), ["dataset_id"]))
@@ -311,7 +313,7 @@ def friedman(df: DataFrame, metric: str = "mean_rmsse", block: str = "dataset_id
         return pd.Series([chi_square_tail(a, int(b)) for a, b in zip(x, df)])
 
     ranked = df.withColumn("_rank", average_rank(F.col(metric), [block]))
-    ties = df.groupBy(block, metric).agg(F.count(F.lit(1)).cast("double").alias("_t")).agg(
+    ties = df.groupBy(block, tie_key(metric).alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_t")).agg(
         F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("t")
     )
     sums = ranked.groupBy("method").agg(F.sum("_rank").alias("_r"), F.count(F.lit(1)).alias("_n"))
@@ -330,9 +332,9 @@ def cross_pairwise(ranked: DataFrame, primary: str, gate: bool | None = None, al
     deployable = ranked.where(~F.col("method").isin(*ORACLES))
     values = pairs_with(deployable, primary, "mean_rmsse", "dataset_id")
     relative = values.withColumn("_rel", F.col("primary") / F.col("other") - 1.0)
+    gap = tie_key(F.col("primary") - F.col("other"))
     counts = relative.groupBy("comparator").agg(
-        F.count_if(F.col("primary") < F.col("other")).alias("wins"), F.count_if(F.col("primary") == F.col("other")).alias("ties"),
-        F.count_if(F.col("primary") > F.col("other")).alias("losses"), F.avg("_rel").alias("mean_relative_difference"),
+        F.count_if(gap < 0).alias("wins"), F.count_if(gap == 0).alias("ties"), F.count_if(gap > 0).alias("losses"), F.avg("_rel").alias("mean_relative_difference"),
     )
     middle = exact_quantiles(relative, ["comparator"], "_rel", [0.5]).select(
         "comparator", F.col("quantiles")[0].alias("median_relative_difference")
@@ -360,7 +362,7 @@ def usage_deviation_test(ranked: DataFrame, primary: str, static: str) -> DataFr
     two = wilcoxon(pairs, method="exact").select("comparator", "n", "statistic", F.col("p_value").alias("p_two_sided"))
     one = wilcoxon(pairs, alternative="less", method="exact").select("comparator", F.col("p_value").alias("p_one_sided"))
     counts = pairs.groupBy("comparator").agg(
-        F.count_if(F.col("primary") < F.col("other")).alias("primary_closer"), F.count(F.lit(1)).alias("datasets")
+        F.count_if(tie_key(F.col("primary") - F.col("other")) < 0).alias("primary_closer"), F.count(F.lit(1)).alias("datasets")
     )
     return counts.join(two, "comparator").join(one, "comparator")
 

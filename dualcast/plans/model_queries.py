@@ -164,7 +164,7 @@ details AS MATERIALIZED (
   SELECT fold, w, avg(sqrt(mse / den)) AS mean_series_rmsse FROM errors JOIN denominators USING (series_id, fold) GROUP BY 1, 2),
 summary AS MATERIALIZED (
   SELECT w AS "window", avg(mean_series_rmsse) AS mean_rmsse, stddev_samp(mean_series_rmsse) AS std_rmsse, count(DISTINCT fold) AS folds,
-         row_number() OVER (ORDER BY avg(mean_series_rmsse), w) AS choice FROM details GROUP BY 1)"""
+         row_number() OVER (ORDER BY round(avg(mean_series_rmsse), 12), w) AS choice FROM details GROUP BY 1)"""
 
 
 def moving_average_details(spark, sf):
@@ -477,7 +477,7 @@ def fold_evaluations(spark, sf):
 
 
 @query("f17_select_best", o.with_(o.HOURLY_ROUTER + FOLD_SCORES, f"""
-SELECT method, lag, {o.rs(F17)}, folds, row_number() OVER (ORDER BY mean_constrained_scaled_loss, method, lag) AS choice FROM csum"""))
+SELECT method, lag, {o.rs(F17)}, folds, row_number() OVER (ORDER BY round(mean_constrained_scaled_loss, 12), method, lag) AS choice FROM csum"""))
 def f17(spark, sf):
     summary = router.tuning_table(fold_evaluations(spark, sf), ["method", "lag"], ["constrained_scaled_loss", "pooled_scaled_loss", "simple_coverage"])
     return rounded(longs(router.select_best(summary, ["mean_constrained_scaled_loss", "method", "lag"]), "lag choice"), F17)
@@ -485,10 +485,11 @@ def f17(spark, sf):
 
 @query("f18_select_feasible", o.with_(o.HOURLY_ROUTER + FOLD_SCORES, """
 SELECT method, lag, maximum_coverage_violation <= 0.02 AS feasible,
-       row_number() OVER (PARTITION BY method ORDER BY maximum_coverage_violation <= 0.02 DESC, mean_constrained_scaled_loss, lag NULLS LAST) = 1 AS selected FROM csum"""))
+       row_number() OVER (PARTITION BY method ORDER BY maximum_coverage_violation <= 0.02 DESC, round(mean_constrained_scaled_loss, 12), lag NULLS LAST) = 1
+       AND maximum_coverage_violation <= 0.02 AS selected FROM csum"""))
 def f18(spark, sf):
     summary = router.tuning_table(fold_evaluations(spark, sf), ["method", "lag"], ["constrained_scaled_loss", "pooled_scaled_loss", "simple_coverage"])
-    out = router.select_feasible(summary, ["mean_constrained_scaled_loss", "lag"], 0.02)
+    out = router.select_feasible(summary, ["mean_constrained_scaled_loss", "lag"], 0.02, on_none="skip")
     return longs(out, "lag").select("method", "lag", "feasible", "selected")
 
 
@@ -651,8 +652,8 @@ def g8(spark, sf):
 
 
 def _select_sql(loss, last):
-    first = "CASE WHEN any_ok THEN CAST(NOT ok AS INTEGER) END, CASE WHEN NOT any_ok THEN coverage_violation END"
-    return f"""SELECT controller, ok AS feasible, row_number() OVER (ORDER BY {first}, {loss}, worst_rolling_violation{last},
+    first = "CASE WHEN any_ok THEN CAST(NOT ok AS INTEGER) END, CASE WHEN NOT any_ok THEN round(coverage_violation, 12) END"
+    return f"""SELECT controller, ok AS feasible, row_number() OVER (ORDER BY {first}, round({loss}, 12), round(worst_rolling_violation, 12){last},
       CAST(split_part(controller, '=', 2) AS DOUBLE)) AS choice
 FROM (SELECT *, coverage_violation <= 0.02 AS ok, max(coverage_violation <= 0.02) OVER () AS any_ok FROM summary)"""
 
@@ -661,7 +662,7 @@ def _eta(df):
     return df.withColumn("eta", F.split("controller", "=")[1].cast("double"))
 
 
-@query("g9_select_eta", o.with_(CONTROL + SUMMARY_CHAIN, _select_sql("equal_series_loss", ", CASE WHEN any_ok THEN coverage_violation END")))
+@query("g9_select_eta", o.with_(CONTROL + SUMMARY_CHAIN, _select_sql("equal_series_loss", ", CASE WHEN any_ok THEN round(coverage_violation, 12) END")))
 def g9(spark, sf):
     return longs(control.select_eta(_eta(_summary(spark, sf))).select("controller", "feasible", "choice"), "choice")
 

@@ -215,7 +215,7 @@ long_rows AS MATERIALIZED (""" + " UNION ALL ".join(
 ) + """),
 series_metrics AS MATERIALIZED (
   SELECT dataset_id, series_id, method, method_order, count(*) AS test_rows,
-         sqrt(avg(pow(y_true - prediction, 2)) / max(rmsse_denominator)) AS rmsse,
+         round(sqrt(avg(pow(y_true - prediction, 2)) / max(rmsse_denominator)), 12) AS rmsse,
          avg(abs(y_true - prediction)) / max(mase_denominator) AS mase,
          avg(CASE WHEN abs(y_true) + abs(prediction) > 0
                   THEN 200.0 * abs(y_true - prediction) / (abs(y_true) + abs(prediction)) ELSE 0.0 END) AS smape,
@@ -227,8 +227,8 @@ series_metrics AS MATERIALIZED (
 def method_metrics(source: str = "series_metrics", dataset: str = "dataset_id", name: str = "method_metrics") -> str:
     return f""",
 {name} AS MATERIALIZED (
-  SELECT *, abs(simple_coverage - {TARGET}) AS coverage_violation
-  FROM (SELECT {dataset} AS dataset_id, method, method_order, avg(rmsse) AS mean_rmsse, quantile_cont(rmsse, 0.5) AS median_rmsse,
+  SELECT *, round(abs(simple_coverage - {TARGET}), 12) AS coverage_violation
+  FROM (SELECT {dataset} AS dataset_id, method, method_order, round(avg(rmsse), 12) AS mean_rmsse, quantile_cont(rmsse, 0.5) AS median_rmsse,
                stddev_samp(rmsse) AS std_rmsse, avg(mase) AS mean_mase, avg(smape) AS mean_smape,
                sqrt(sum(rmse * rmse * test_rows) / sum(test_rows)) AS overall_rmse,
                sum(simple_coverage * test_rows) / sum(test_rows) FILTER (simple_coverage IS NOT NULL) AS simple_coverage,

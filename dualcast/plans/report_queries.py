@@ -196,7 +196,7 @@ def i3(spark, sf):
 
 def ranks_sql(source: str, unit: str, metric: str, factor: float = 1.0, primary: str = PRIMARY) -> str:
     return f""",
-pairs AS MATERIALIZED (SELECT b.{unit} AS unit, b.method AS comparator, a.{metric} AS p, {factor} * b.{metric} AS q, a.{metric} - {factor} * b.{metric} AS d
+pairs AS MATERIALIZED (SELECT b.{unit} AS unit, b.method AS comparator, a.{metric} AS p, {factor} * b.{metric} AS q, round(a.{metric} - {factor} * b.{metric}, 12) AS d
   FROM {source} b JOIN {source} a ON a.{unit} = b.{unit} AND a.method = '{primary}' WHERE b.method <> '{primary}'),
 sranks AS MATERIALIZED (SELECT *, rank() OVER (PARTITION BY comparator ORDER BY abs(d)) + (count(*) OVER (PARTITION BY comparator, abs(d)) - 1) / 2.0 AS k,
   count(*) OVER (PARTITION BY comparator, abs(d)) AS t FROM pairs WHERE d <> 0),
