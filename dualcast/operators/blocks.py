@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from dualcast.settings import KEYS
 
-BLOCK_ROWS = 8192
+# a block and its context stay below the 4096 rows that a window keeps in its plain in-memory buffer
+BLOCK_ROWS = 3840
 
 
 def with_history(

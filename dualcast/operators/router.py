@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,13 +50,18 @@ class Standardizer:
 
 def standardizer_table(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """One row per feature: mean, population std and the divisor (1 where the std is 0)."""
-    row = df.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features])
-    entries = F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"m_{f}").alias("mean"), F.col(f"s_{f}").alias("std")) for f in features
-    ]))
-    return row.select(entries.alias("e")).select("e.*").withColumn(
-        "divisor", F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
+    vectors = _vector(df, features).select(
+        Summarizer.metrics("mean", "std", "count").summary(F.col("features")).alias("s")
+    ).select(
+        vector_to_array("s.mean").alias("m"), vector_to_array("s.std").alias("d"), F.col("s.count").alias("n")
     )
+    # the summary divides by n - 1
+    population = F.sqrt((F.col("n") - 1) / F.col("n"))
+    names = F.array(*[F.lit(f) for f in features])
+    rows = vectors.select(F.explode(F.arrays_zip(names.alias("f"), "m", "d")).alias("e"), population.alias("p"))
+    return rows.select(
+        F.col("e.f").alias("feature"), F.col("e.m").alias("mean"), (F.col("e.d") * F.col("p")).alias("std")
+    ).withColumn("divisor", F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")))
 
 
 def fit_standardizer(df: DataFrame, features: Sequence[str]) -> Standardizer:

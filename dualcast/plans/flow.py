@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from dualcast.operators import control, evaluate, features, forecast, prepare, router
 from dualcast.operators.blocks import attach, over_history
 from dualcast.operators.ranking import exact_quantiles
-from dualcast.plans.fixtures import daily_series, hourly_series
+from dualcast.plans.fixtures import daily_series, hourly_series, supplier_series
 from dualcast.session import scratch
-from dualcast.settings import DAILY, HOURLY, KEYS, TARGET, Family
+from dualcast.settings import DAILY, HOURLY, KEYS, SUPPLIERS, TARGET, Family
 
 LAGS = 16
 SCORE_LAGS = 4
@@ -43,7 +43,8 @@ def stage(spark: SparkSession, sf_dir: str, name: str, source: str, build) -> Da
 
 
 def panel(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFrame:
-    return hourly_series(spark, sf_dir) if family is HOURLY else daily_series(spark, sf_dir)
+    build = {HOURLY: hourly_series, DAILY: daily_series, SUPPLIERS: supplier_series}[family]
+    return build(spark, sf_dir)
 
 
 def split_panel(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFrame:
@@ -51,7 +52,7 @@ def split_panel(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> Da
 
 
 def _source(family: Family) -> str:
-    return "events" if family is HOURLY else "orders"
+    return {HOURLY: "events", DAILY: "orders", SUPPLIERS: "lineitem"}[family]
 
 
 def stored_split(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFrame:

@@ -11,7 +11,7 @@ from dualcast.plans.fixtures import daily_series, hourly_series, table
 from dualcast.plans.panel_queries import _base_counts, fold_chain
 from dualcast.plans.registry import longs, query, rounded
 from dualcast.session import materialize
-from dualcast.settings import ETAS, HOURLY, KEYS, TARGET
+from dualcast.settings import ETAS, HOURLY, KEYS, SAMPLE_CAP, SUPPLIERS, TARGET
 
 ID = ["series_id", "time_index"]
 
@@ -342,6 +342,20 @@ _fitted("f7_hard_logistic_balanced", lambda rows, names: router.fit_hard_logisti
 _fitted("f8_forest", lambda rows, names: router.fit_forest(rows, names, 4, 20, "sqrt", trees=20))
 
 
+@query("f4_soft_logistic_sampled")
+def f4_sampled(spark, sf):
+    """The reference-sized fit: up to 100 000 sampled rows and all features of the supplier panel."""
+    names = flow.feature_names(SUPPLIERS)
+    rows = flow.scored_table(spark, sf, SUPPLIERS)
+    training = rows.where(F.col("split") == "router_train")
+    scaler = router.fit_standardizer(training, names)
+    sample = prepare.systematic_sample(training.select(*KEYS, "time_index", "loss_advantage", *names), SAMPLE_CAP)
+    sample = router.soft_targets(router.standardize(sample, scaler), 0.5)
+    model = router.fit_soft_logistic(sample.select("soft_target", *names), names, 1.0, max_iter=100)
+    scored = router.score(router.standardize(rows.where(F.col("split") == "calibration"), scaler), model)
+    return rounded(router.evaluate_score(scored), "threshold constrained_scaled_loss pooled_scaled_loss simple_coverage coverage_violation", 4)
+
+
 @query("f7_class_weights", o.with_(o.HOURLY_ROUTER, f"""
 SELECT complex_better AS label, count(*) AS rows, {o.r('(SELECT count(*) FROM router) / (2.0 * count(*))', 'weight')} FROM router GROUP BY 1"""))
 def f7_weights(spark, sf):

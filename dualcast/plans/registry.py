@@ -17,6 +17,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(function: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            # wide feature rows would make one generated method too long for the JIT compiler
+            spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
             return function(spark, sf_dir)
 
         QUERIES[name] = run

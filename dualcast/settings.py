@@ -68,6 +68,10 @@ HOURLY = Family(
     "hourly_events", "hour", 24, 168, WINDOWS["hourly"],
     24, 168, 24, 12, 168, 24, 48, ("hour_of_day", "day_of_week"),
 )
+SUPPLIERS = Family(
+    "daily_suppliers", "day", 7, 28, WINDOWS["daily"],
+    7, 56, 7, 7, 56, 14, 56, ("day_of_week",),
+)
 DAILY = Family(
     "daily_orders", "day", 7, 28, WINDOWS["daily"],
     7, 56, 7, 7, 56, 14, 56, ("day_of_week",),
