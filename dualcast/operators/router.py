@@ -51,16 +51,16 @@ class Standardizer:
 def standardizer_table(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """One row per feature: mean, population std and the divisor (1 where the std is 0)."""
     vectors = _vector(df, features).select(
-        Summarizer.metrics("mean", "std", "count").summary(F.col("features")).alias("s")
+        Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("s")
     ).select(
-        vector_to_array("s.mean").alias("m"), vector_to_array("s.std").alias("d"), F.col("s.count").alias("n")
+        vector_to_array("s.mean").alias("m"), vector_to_array("s.variance").alias("d"), F.col("s.count").alias("n")
     )
     # the summary divides by n - 1
-    population = F.sqrt((F.col("n") - 1) / F.col("n"))
     names = F.array(*[F.lit(f) for f in features])
-    rows = vectors.select(F.explode(F.arrays_zip(names.alias("f"), "m", "d")).alias("e"), population.alias("p"))
+    rows = vectors.select(F.explode(F.arrays_zip(names.alias("f"), "m", "d")).alias("e"), "n")
     return rows.select(
-        F.col("e.f").alias("feature"), F.col("e.m").alias("mean"), (F.col("e.d") * F.col("p")).alias("std")
+        F.col("e.f").alias("feature"), F.col("e.m").alias("mean"),
+        F.sqrt(F.col("e.d") * (F.col("n") - 1) / F.col("n")).alias("std"),
     ).withColumn("divisor", F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")))
 
 
