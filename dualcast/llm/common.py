@@ -14,7 +14,7 @@ from dualcast.session import materialize, scratch
 #: The characters between words.
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows per Arrow batch; a text may be very long, so a batch holds few of them.
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 
 __all__ = ["BATCH_ROWS", "SPACES", "arrow_pass", "cells", "materialize", "scratch", "split_words", "table", "text_of"]
 

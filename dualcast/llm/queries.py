@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dualcast.llm import bpe
+from dualcast.llm import archive, audio, bpe, linededup, mixing, outliers
 from dualcast.llm.common import table
 
 QUERIES = {}
@@ -16,6 +17,40 @@ def query(function):
     return function
 
 
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+SQL["op2_mixing"] = mixing.SQL
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the runs of lines that an earlier document or line has."""
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_deleted", "text")
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, the base rules and the robust distance within its language and source."""
+    return outliers.quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a WAV file, read back and fingerprinted."""
+    return audio.media_features(audio.to_wav(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through a legacy archive into a stored WARC file, and its record read back."""
+    return archive.read_warc(archive.convert(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text and decode the ids; counts and digests of both."""
