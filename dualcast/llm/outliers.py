@@ -22,9 +22,9 @@ MIN_WORDS = 20
 #: Share of a group that an estimate uses, steps from the classical start, and the smallest group of its own.
 SHARE, STEPS, MIN_GROUP = 0.75, 6, 100
 #: The median of chi-squared with as many degrees as features, and the squared distance that rejects.
-CHI2_MEDIAN, CUT = 4.351, 60.0
+CHI2_MEDIAN, CUT = 4.351, 81.0
 #: Spread that every transformed feature has at least.
-FLOOR = {"f_words": 0.25, "f_length": 0.05, "f_symbols": 0.05, "f_lines": 0.1, "f_repeats": 0.05}
+FLOOR = {"f_words": 0.25, "f_length": 0.05, "f_symbols": 0.05, "f_lines": 0.25, "f_repeats": 0.05}
 FEATURES = list(FLOOR)
 #: Histogram bins per doubling of a distance.
 BINS = 32
@@ -189,6 +189,6 @@ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
   len(w) < 20 OR 100 * coalesce(r.n, 0) > 30 * len(w) AS base_failed
-FROM (SELECT *, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w) w
+FROM (SELECT *, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM w) w
 LEFT JOIN repeats r USING (doc_id)
 """
