@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dualcast.llm import archive, audio, bpe, linededup, mixing, outliers
+from dualcast.llm import archive, audio, bpe, langid, linededup, mixing, outliers, toxicity
 from dualcast.llm.common import table
 
 QUERIES = {}
@@ -17,6 +17,13 @@ def query(function):
     return function
 
 
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned outside the held-out fold."""
+    documents = table(spark, sf_dir, "documents")
+    return langid.identify(documents, langid.fit(documents))
+
+
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
@@ -45,6 +52,13 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_features(audio.to_wav(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document by a grammar fitted outside the held-out fold."""
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score_texts(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through a legacy archive into a stored WARC file, and its record read back."""
@@ -56,4 +70,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text and decode the ids; counts and digests of both."""
     path, pattern = bpe.public_vocabulary()
     encoded = bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path, pattern)
-    return bpe.digests(encoded, "doc_id", path, pattern)
+    return bpe.digests(encoded, "doc_id", path)
