@@ -30,7 +30,7 @@ from dualcast.llm.common import arrow_pass, cells, text_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Matches whose ids a worker keeps.
-KEPT_MATCHES = 1_000_000
+KEPT_MATCHES = 400_000
 _BEYOND_LATIN = re.compile("[^\u0000-\u024f\u2010-\u2027\u2030-\u205e]")
 _BEYOND_STABLE = re.compile("[^\u0000-\u052f\u2000-\u206f\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
 
@@ -59,9 +59,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def load(path: str, pattern: str) -> tuple:
-    """The library's tokenizer for whole texts, the one for single matches, and every id's bytes by the reversed byte table."""
+    """The library's tokenizer for whole texts and the one for single matches; they share one model."""
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     ranks, table = read_ranks(path), byte_characters()
@@ -72,17 +72,24 @@ def load(path: str, pattern: str) -> tuple:
         for i in range(1, len(token))
         if token[:i] in ranks and token[i:] in ranks
     ]
-    vocabulary = {name(token): rank for token, rank in ranks.items()}
+    model = models.BPE(vocab={name(token): rank for token, rank in ranks.items()}, merges=merges, ignore_merges=True)
     level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    whole = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True))
+    whole, single = Tokenizer(model), Tokenizer(model)
     whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), level])
-    single = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True))
     single.pre_tokenizer = level
+    return whole, single
+
+
+@functools.lru_cache(maxsize=1)
+def token_bytes(path: str) -> np.ndarray:
+    """The bytes of every id, by its name in characters and the reversed byte table."""
+    table = byte_characters()
     reverse = {ord(c): b for b, c in enumerate(table)}
-    parts = np.full(max(ranks.values()) + 1, None, dtype=object)
-    for token, rank in vocabulary.items():
-        parts[rank] = token.translate(reverse).encode("latin-1")
-    return whole, single, parts
+    names = {rank: "".join(table[b] for b in token) for token, rank in read_ranks(path).items()}
+    parts = np.full(max(names) + 1, None, dtype=object)
+    for rank, name in names.items():
+        parts[rank] = name.translate(reverse).encode("latin-1")
+    return parts
 
 
 class Encoder:
@@ -91,7 +98,7 @@ class Encoder:
     def __init__(self, path: str, pattern: str) -> None:
         import public_tokenizers
 
-        self.whole, self.single, _ = load(path, pattern)
+        self.whole, self.single = load(path, pattern)
         self.stable, self.kept = regex.compile(pattern).findall, {}
         self.latin = latin_pattern().findall if pattern == public_tokenizers.PATTERN else self.stable
 
@@ -163,7 +170,7 @@ def encode(df: DataFrame, key: str, text: str, path: str, pattern: str, offsets:
     return arrow_pass(rows, passes, f"key {kind}, ids array<int>{more}").withColumnRenamed("key", key)
 
 
-def decode(df: DataFrame, key: str, ids: str, path: str, pattern: str) -> DataFrame:
+def decode(df: DataFrame, key: str, ids: str, path: str) -> DataFrame:
     """Key, ``ids``, ``bytes`` (the tokens' bytes) and ``text`` (as UTF-8; bytes of a split character that
     stay incomplete become U+FFFD).
 
@@ -172,7 +179,7 @@ def decode(df: DataFrame, key: str, ids: str, path: str, pattern: str) -> DataFr
     kind = dict(df.dtypes)[key]
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = load(path, pattern)[2]
+        parts = token_bytes(path)
         for batch in batches:
             found = [b"".join(parts[row].tolist()) for row in _rows(batch.column(1))]
             texts = [b.decode("utf-8", "replace") for b in found]
@@ -185,7 +192,7 @@ def decode(df: DataFrame, key: str, ids: str, path: str, pattern: str) -> DataFr
     return arrow_pass(rows, passes, f"key {kind}, ids array<int>, bytes binary, text string").withColumnRenamed("key", key)
 
 
-def digests(encoded: DataFrame, key: str, path: str, pattern: str) -> DataFrame:
+def digests(encoded: DataFrame, key: str, path: str) -> DataFrame:
     """Counts and digests of ids and decoded bytes, one row per encoded row, by the round trip through ``decode``."""
     kind = dict(encoded.dtypes)[key]
 
@@ -202,7 +209,7 @@ def digests(encoded: DataFrame, key: str, path: str, pattern: str) -> DataFrame:
                 ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    rows = decode(encoded, key, "ids", path, pattern).select(F.col(key).alias("key"), "ids", "bytes")
+    rows = decode(encoded, key, "ids", path).select(F.col(key).alias("key"), "ids", "bytes")
     return arrow_pass(rows, passes, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
 
 
