@@ -11,7 +11,7 @@ from dualcast.llm.common import materialize, table
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text that is left, with the text they decode to."""
     path, pattern = bpe.public_vocabulary()
-    return bpe.decode(bpe.encode(docs, "doc_id", "text", path, pattern), "doc_id", "ids", path, pattern).drop("bytes")
+    return bpe.decode(bpe.encode(docs, "doc_id", "text", path, pattern), "doc_id", "ids", path).drop("bytes")
 
 
 STAGES = [("byte-level BPE", encode)]
