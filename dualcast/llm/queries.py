@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dualcast.llm import archive, audio, bpe, langid, linededup, mixing, outliers, toxicity
+from dualcast.llm import archive, audio, bpe, dartminhash, langid, linededup, mixing, outliers, toxicity
 from dualcast.llm.common import table
 
 QUERIES = {}
@@ -59,6 +59,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
 
 
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document."""
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through a legacy archive into a stored WARC file, and its record read back."""
