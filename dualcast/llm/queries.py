@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dualcast.llm import archive, audio, bpe, dartminhash, langid, linededup, mixing, outliers, toxicity
+from dualcast.llm import archive, audio, bpe, dartminhash, htmltree, langid, linededup, mixing, outliers, toxicity
 from dualcast.llm.common import table
 
 QUERIES = {}
@@ -46,6 +46,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by the tree model fitted on pages that name their article."""
+    pages = table(spark, sf_dir, "pages")
+    return htmltree.extract(pages, htmltree.fit(pages))
+
+
 @query
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a WAV file, read back and fingerprinted."""
