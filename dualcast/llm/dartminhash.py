@@ -256,21 +256,38 @@ def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         active, step = materialize(active.join(open_buckets, "bucket")), step + 1
 
 
+def _classified(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Stored ``doc, node, label`` of the rows with a word, and per label its first (doc, node) and size."""
+    found = materialize(sketches(docs, doc_id, text))
+    nodes = materialize(found.groupBy("node").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks")))
+    own = F.col(text).cast("string")
+    firsts = found.groupBy("node").agg(F.min("doc").alias("least"))
+    rows = docs.select(F.col(doc_id).alias("doc"), text_key(own).alias("node"), own.alias("text")).where("node is not null")
+    texts = rows.join(firsts, "node").where(F.col("doc").eqNullSafe(F.col("least")))
+    labels = near_links(nodes, texts.dropDuplicates(["node"]).select("node", "text"))
+    labelled = materialize(found.select("doc", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "node")
+    classes = labelled.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    return labelled, materialize(classes.select("label", F.col("first.doc").alias("class_id"), F.col("first.node").alias("node"), "class_size"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id, class_size`` (rows) for every row; the class is named by its least id.
 
     Texts equal but for case are copies. Null texts and texts without a word are classes of their own, with
     no shingle to compare. Rows with equal id and text belong to one class. Ids may be null: they are last.
     """
-    found = materialize(sketches(docs, doc_id, text))
-    nodes = materialize(found.groupBy("node").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks")))
-    own = F.col(text).cast("string")
-    firsts = found.groupBy("node").agg(F.min("doc").alias("doc"))
-    rows = docs.select(F.col(doc_id).alias("doc"), text_key(own).alias("node"), own.alias("text")).where("node is not null")
-    texts = rows.join(firsts.select("node", F.col("doc").alias("least")), "node").where(F.col("doc").eqNullSafe(F.col("least")))
-    labels = near_links(nodes, texts.dropDuplicates(["node"]).select("node", "text"))
-    labelled = materialize(found.select("doc", "node").join(labels, "node", "left").select("doc", F.coalesce("label", "node").alias("label")))
-    classes = materialize(labelled.groupBy("label").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
-    some = labelled.join(classes, "label").select(F.col("doc").alias(doc_id), "class_id", "class_size")
-    none = docs.where(text_key(own).isNull()).select(doc_id, F.col(doc_id).alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return some.union(none)
+    labelled, classes = _classified(docs, doc_id, text)
+    some = labelled.drop("node").join(classes, "label").select(F.col("doc").alias(doc_id), "class_id", "class_size")
+    none = docs.where(text_key(F.col(text).cast("string")).isNull())
+    return some.union(none.select(doc_id, F.col(doc_id).alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+
+
+def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class, with all columns: that of the least id. Rows without a word all stay."""
+    _, classes = _classified(docs, doc_id, text)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(doc_id).alias("k"), text_key(F.col(text).cast("string")).alias("n"))
+    first = F.col("k").eqNullSafe(F.col("class_id")) & (F.col("n") == F.col("node"))
+    kept = rows.where("n is not null").join(classes.select("class_id", "node"), first, "left_semi").dropDuplicates(["k", "n"])
+    return kept.select("row.*").union(rows.where("n is null").select("row.*"))
