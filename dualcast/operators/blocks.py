@@ -75,6 +75,20 @@ def attach(
     return joined if blocked else joined.drop(slot)
 
 
+def rows_so_far(df: DataFrame, keys: Sequence[str] = KEYS, name: str = "_row", index: str = "time_index") -> DataFrame:
+    """How many rows of its series come before each row: counted inside its block, plus the blocks before.
+
+    Gaps in the index do not matter.
+    """
+    blocked = df.withColumn("_slot", F.expr(f"`{index}` div {BLOCK_ROWS}"))
+    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    counts = blocked.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(*keys, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(index))
+    joined = blocked.join(offsets, [*keys, "_slot"])
+    return joined.withColumn(name, F.col("_offset") + inside - 1).drop("_slot", "_offset")
+
+
 def full_frame(window: WindowSpec, rows: int, current: bool = False) -> tuple[WindowSpec, Column]:
     """A frame of exactly ``rows`` rows and the condition that it is full."""
     frame = window.rowsBetween(-(rows - 1), 0) if current else window.rowsBetween(-rows, -1)

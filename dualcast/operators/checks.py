@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dualcast.functions.expressions import is_finite
-from dualcast.operators.blocks import BLOCK_ROWS, over_history
+from dualcast.operators.blocks import BLOCK_ROWS, over_history, rows_so_far
 from dualcast.operators.prepare import split_order
 from dualcast.operators.ranking import exact_quantiles
 from dualcast.settings import KEYS, MIN_LENGTH, SPLITS
@@ -152,18 +152,13 @@ def contiguity(df: DataFrame, step: str = "hour", keys: Sequence[str] = KEYS) ->
     """Whether each series' index runs 0..n-1 without gaps and its timestamps advance by one step."""
     seconds = {"hour": 3600, "day": 86400}[step]
     micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
-
-    def build(blocked, window):
-        return blocked.withColumns({
-            "_di": F.col("time_index") - F.lag("time_index", 1).over(window),
-            "_dt": micros - F.lag(micros, 1).over(window),
-        })
-
-    checked = over_history(df, 1, build, keys)
-    starts = (F.min("time_index") == 0) & (F.max("time_index") == F.count(F.lit(1)) - 1)
-    return checked.groupBy(*keys).agg(
-        (starts & F.coalesce(F.bool_and(F.col("_di") == 1), F.lit(True))).alias("index_contiguous"),
-        F.coalesce(F.bool_and(F.col("_dt") == seconds * 1_000_000), F.lit(True)).alias("step_constant"),
+    # both runs are free of gaps exactly where they stay level with the number of rows so far
+    numbered = rows_so_far(df, keys, "_row").select(
+        *keys, (F.col("time_index") - F.col("_row")).alias("_i"), (micros - F.col("_row") * (seconds * 1_000_000)).alias("_t")
+    )
+    return numbered.groupBy(*keys).agg(
+        ((F.min("_i") == 0) & (F.max("_i") == 0)).alias("index_contiguous"),
+        F.coalesce(F.min("_t") == F.max("_t"), F.lit(True)).alias("step_constant"),
     )
 
 
@@ -205,11 +200,19 @@ def max_abs_diff(
     left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], decisions: Sequence[str] = (),
     tolerance: float = 1e-7,
 ) -> DataFrame:
-    """Largest difference per column, mismatching decisions, and rows without a partner."""
+    """Largest difference per column, mismatching decisions, and rows without a partner.
+
+    A value against null is no difference that can be measured: NaN, and never within the tolerance.
+    """
     renamed = right.select(*keys, *[F.col(c).alias(f"_r_{c}") for c in (*columns, *decisions)], F.lit(1).alias("_right"))
     joined = left.select(*keys, *columns, *decisions, F.lit(1).alias("_left")).join(renamed, list(keys), "full_outer")
     unmatched = F.count_if(F.col("_left").isNull() | F.col("_right").isNull())
-    measures = [F.max(F.abs(F.col(c) - F.col(f"_r_{c}"))).cast("double") for c in columns]
+    paired = F.col("_left").isNotNull() & F.col("_right").isNotNull()
+    measures = []
+    for c in columns:
+        one_side = paired & (F.col(c).isNull() != F.col(f"_r_{c}").isNull())
+        gap = F.abs(F.col(c) - F.col(f"_r_{c}")).cast("double")
+        measures.append(F.max(F.when(one_side, F.lit(float("nan"))).otherwise(gap)))
     measures += [F.count_if(~F.col(c).eqNullSafe(F.col(f"_r_{c}"))).cast("double") for c in decisions]
     row = joined.agg(unmatched.alias("_u"), *[m.alias(f"_m{i}") for i, m in enumerate(measures)])
     entries = F.array(*[

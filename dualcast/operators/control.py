@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dualcast.functions.expressions import tie_key
-from dualcast.operators.blocks import attach, full_frame, over_history
-from dualcast.operators.ranking import exact_quantiles, exceeds
+from dualcast.operators.blocks import full_frame, over_history, rows_so_far
+from dualcast.operators.ranking import exact_quantiles
 from dualcast.session import materialize
 from dualcast.settings import BIAS_LIMIT, KEYS, TOLERANCE
 
-FOLD_ROWS = 2_000_000  # distinct scores one controller may hold in one task
+FOLD_ROWS = 2_000_000  # distinct scores one controller may hold in one task; brackets narrow until they fit
 
 TRACE_SCHEMA = (
     "dataset_id string, controller string, step long, batch_rows long, simple_count long, "
@@ -55,10 +55,8 @@ def route_static(df: DataFrame, threshold, score: str = "score", name: str = "us
 
 
 def relative_step(df: DataFrame, keys: Sequence[str] = KEYS, name: str = "step") -> DataFrame:
-    """Rows since the series entered the segment (rows are contiguous, so its first index is enough)."""
-    spans = df.groupBy(*keys).agg(F.min("time_index").alias("_first"), (F.max("time_index") + 1).alias("_n"))
-    joined = attach(df, spans, keys, rows="_n")
-    return joined.withColumn(name, F.col("time_index") - F.col("_first")).drop("_first", "_n")
+    """Rows of the series so far, counted: a gap in its index is no step."""
+    return rows_so_far(df, keys, name)
 
 
 # ---- adaptive controller -------------------------------------------------------------------
@@ -133,8 +131,9 @@ def route_adaptive(
     At each step the threshold is the base plus the bias, clipped to [0, 1]; rows below it take the
     simple forecast; the bias then moves by eta times (target - share), within its limit. The steps
     depend on each other only through that one number, so a task needs the score counts near the
-    threshold and nothing else. While a controller's distinct scores exceed ``fold_rows``, histograms
-    narrow a bracket around each step's threshold; the exact run then checks every bracket and resumes
+    threshold and nothing else. Each step has a bracket around its threshold, at first all scores;
+    histograms narrow the brackets until a controller's scores inside them are at most ``fold_rows``,
+    and a run that cannot get there is an error. The exact run then checks every bracket and resumes
     from the last exact state where one was missed, so the result never depends on the brackets.
     """
     rows = df.select("dataset_id", F.col(step).cast("bigint").alias("step"), F.col(score).cast("double").alias("score"))
@@ -142,9 +141,6 @@ def route_adaptive(
     weighted = rows.groupBy("dataset_id", "step", "score").agg(F.count(F.lit(1)).alias("c"))
     table = [r.asDict() for r in settings.collect()]  # one row per controller
     start = dict(start or {})
-    if not exceeds(weighted, ["dataset_id"], fold_rows):
-        per_step = _step_rows(weighted.withColumns({"low": F.lit(0.0), "high": F.lit(1.0)}), ["dataset_id"])
-        return _run_fold(per_step, ["dataset_id"], table, start).drop("_missed")
     return _narrowing_fold(materialize(weighted), table, start, fold_rows)
 
 
@@ -205,9 +201,10 @@ def _narrowing_fold(weighted: DataFrame, table: list[dict], start: dict, fold_ro
             inside = (F.col("score") >= F.col("low")) & (F.col("score") <= F.col("high"))
             load = placed.where(inside).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
             heaviest = load.agg(F.max("n")).first()[0] or 0
-            # one score per step may be all that is left; then the exact run takes what there is
-            if heaviest <= fold_rows or heaviest == before:
+            if heaviest <= fold_rows:
                 break
+            if heaviest == before:
+                raise ValueError(f"brackets leave {heaviest} scores of one controller for one task, over its bound of {fold_rows}")
             before = heaviest
             steps = brackets.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
             bins = int(max(8, min(4096, fold_rows // max(steps, 1))))

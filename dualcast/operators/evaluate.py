@@ -53,10 +53,10 @@ def constrained_oracle(df: DataFrame, target: float = TARGET, step: str = "step"
     advantage = (error("simple_prediction") - error("complex_prediction")) / F.pow(F.col("mase_denominator"), F.lit(2.0))
     total = df.count()
     complex_rows = total - round(target * total)
-    ranked = global_rank(
-        df.withColumn("_advantage", advantage), [F.col("_advantage").desc(), F.col(step), F.col("series_id")], "_rank", rows=total
-    )
-    return apply_routed(ranked, "constrained_oracle", F.col("_rank") >= complex_rows).drop("_advantage", "_rank")
+    ids = list(dict.fromkeys([*KEYS, step]))
+    narrow = df.select(*ids, advantage.alias("_advantage"))
+    ranked = global_rank(narrow, [F.col("_advantage").desc(), F.col(step), F.col("series_id")], "_rank").select(*ids, "_rank")
+    return apply_routed(df.join(ranked, ids), "constrained_oracle", F.col("_rank") >= complex_rows).drop("_rank")
 
 
 def methods_of(df: DataFrame) -> list[str]:

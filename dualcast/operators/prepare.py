@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dualcast.operators.blocks import attach, full_frame, over_history
+from dualcast.operators.blocks import attach, full_frame, over_history, rows_so_far
 from dualcast.operators.ranking import exact_quantiles, running_totals
 from dualcast.settings import FOLDS, KEYS, SMALL_SCALE, SPLIT_ORDER, SPLIT_PERCENT, SPLITS
 
@@ -175,8 +175,9 @@ def fit_robust_scaler(
         F.min("time_index").alias("source_start"), F.max("time_index").alias("source_end"),
         F.count(F.lit(1)).alias("source_count"), F.stddev_pop("value").alias("_std"),
     )
-    joined = bounds.join(exact_quantiles(source, keys, "value", [0.5, 0.25, 0.75]), list(keys))
-    q = F.col("quantiles")
+    joined = bounds.join(exact_quantiles(source, keys, "value", [0.5, 0.25, 0.75]), list(keys), "left")
+    nothing = F.raise_error(F.concat_ws(" ", F.lit("no value to fit a scaler on:"), *keys)).cast("array<double>")
+    q = F.coalesce(F.col("quantiles"), nothing)
     table = joined.select(
         *keys, F.lit(split or "all").alias("source_split"), "source_start", "source_end", "source_count",
         q[0].alias("median"), q[1].alias("q1"), q[2].alias("q3"), (q[2] - q[1]).alias("iqr"), "_std",
@@ -357,11 +358,10 @@ def systematic_sample(
     """Midpoint systematic sample of ``min(rows, cap)`` rows in series order, without a global sort.
 
     Position p of N is kept when ``floor((i + 0.5) * N / m) = p`` for some i. A row's position is its
-    series' offset plus its distance from the series' first row (rows are contiguous in time).
+    series' offset plus the number of its rows so far.
     """
     spans = df.groupBy(*keys, *partition).agg(
-        F.count(F.lit(1)).alias("available"), F.min("time_index").alias("_first"),
-        F.max("time_index").alias("_last"), *([F.first(order).alias(order)] if order not in keys else []),
+        F.count(F.lit(1)).alias("available"), F.max("time_index").alias("_last"), *([F.first(order).alias(order)] if order not in keys else []),
     )
     if partition:
         window = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -372,12 +372,12 @@ def systematic_sample(
         offsets = running_totals(spans, [F.col(order)], {"_upto": "available"})
         offsets = offsets.withColumn("_total", spans.agg(F.sum("available")).scalar())
     slots = offsets.withColumn("_n", F.col("_last") + 1).drop("_last", *([order] if order not in keys else []))
-    rows = attach(df, slots, [*keys, *partition], rows="_n")
-    rows = rows.withColumn("position", F.col("_upto") - F.col("available") + F.col("time_index") - F.col("_first"))
+    rows = attach(rows_so_far(df, [*keys, *partition], "_row"), slots, [*keys, *partition], rows="_n")
+    rows = rows.withColumn("position", F.col("_upto") - F.col("available") + F.col("_row"))
     rows = rows.withColumn("_m", F.least(F.col("_total"), F.lit(cap).cast("bigint")))
     rows = rows.withColumn("sample_order", F.expr("(2 * position * _m + _total - 1) div (2 * _total)"))
     kept = rows.where(F.expr("((2 * sample_order + 1) * _total) div (2 * _m) = position"))
-    return kept.drop("_upto", "_total", "_first", "_n", "_m")
+    return kept.drop("_upto", "_total", "_row", "_n", "_m")
 
 
 def sampling_manifest(sample: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

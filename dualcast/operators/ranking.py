@@ -1,8 +1,7 @@
 """Exact global ranks, running totals and quantiles that stay distributed.
 
-Small groups use Spark's own ``percentile`` and windows. Beyond a checked row count the work moves to
-a range sort: rows are numbered inside each sorted partition, the result is checkpointed, and only
-one total per partition is combined.
+There is one plan at every size: a range sort, rows numbered inside each sorted partition, the result
+stored, and one total per partition combined. No group is gathered in a task, however many rows it has.
 """
 
 from __future__ import annotations
@@ -14,14 +13,6 @@ from pyspark.sql import functions as F
 
 from dualcast.session import materialize
 
-HOT_ROWS = 1_000_000
-
-
-def exceeds(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
-    """Whether any group has more than ``limit`` rows (a counted check, before anything is grouped)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return not counts.where(F.col("_n") > limit).isEmpty()
-
 
 def _sorted_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     numbered = df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id())
@@ -34,13 +25,8 @@ def _sorted_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     )
 
 
-def global_rank(
-    df: DataFrame, order: Sequence[Column], name: str = "position", small_rows: int = HOT_ROWS,
-    rows: int | None = None,
-) -> DataFrame:
-    """0-based position of each row in the whole table's order; ``rows`` is the row count where it is known."""
-    if not (exceeds(df, [], small_rows) if rows is None else rows > small_rows):
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
+def global_rank(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """0-based position of each row in the whole table's order."""
     numbered = _sorted_rows(df, order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
@@ -51,13 +37,8 @@ def global_rank(
     return joined.withColumn(name, F.col("_offset") + F.col("_pos")).drop("_part", "_pos", "_offset")
 
 
-def running_totals(
-    df: DataFrame, order: Sequence[Column], totals: dict[str, str], small_rows: int = HOT_ROWS
-) -> DataFrame:
+def running_totals(df: DataFrame, order: Sequence[Column], totals: dict[str, str]) -> DataFrame:
     """Inclusive running sums ``{new name: column}`` over the whole table's order."""
-    if not exceeds(df, [], small_rows):
-        window = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(source).over(window).alias(name) for name, source in totals.items()])
     rows = _sorted_rows(df, order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("_part").agg(*[F.sum(source).alias(f"_t_{name}") for name, source in totals.items()])
@@ -75,34 +56,21 @@ def running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    column: str,
-    probabilities: Sequence[float],
-    name: str = "quantiles",
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], column: str, probabilities: Sequence[float], name: str = "quantiles"
 ) -> DataFrame:
     """Linear-interpolated exact quantiles per group, as an array in the order of ``probabilities``."""
     keys = list(keys)
     values = df.select(*keys, F.col(column).alias("_v")).where(F.col("_v").isNotNull())
-    literal = F.array(*[F.lit(float(p)) for p in probabilities])
-    plain = F.percentile("_v", literal).alias(name)
-    if not exceeds(values, keys, hot_rows):
-        return values.groupBy(*keys).agg(plain)
     if not keys:
         return _ranked_quantiles(values.withColumn("_all", F.lit(1)), ["_all"], probabilities, name).drop("_all")
-    # at most total rows / hot_rows keys: a short list by construction
-    hot = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
-    light = values.join(hot, keys, "left_anti").groupBy(*keys).agg(plain)
-    heavy = _ranked_quantiles(values.join(hot, keys, "left_semi"), keys, probabilities, name)
-    return light.unionByName(heavy)
+    return _ranked_quantiles(values, keys, probabilities, name)
 
 
 def _ranked_quantiles(values: DataFrame, keys: list[str], probabilities: Sequence[float], name: str) -> DataFrame:
     """Two order statistics per probability, picked from a global sort of the distinct values."""
     distinct = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     order = [*[F.col(k) for k in keys], F.col("_v")]
-    ranked = materialize(running_totals(distinct, order, {"_upto": "_c"}, small_rows=0))
+    ranked = running_totals(distinct, order, {"_upto": "_c"})
     groups = ranked.groupBy(*keys).agg(
         F.min(F.col("_upto") - F.col("_c")).alias("_before"), F.sum("_c").alias("_n")
     )

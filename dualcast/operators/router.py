@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from dualcast.functions.expressions import clip_probability, column, soft_target, tie_key
 from dualcast.operators.ranking import exact_quantiles, running_totals
+from dualcast.session import scratch
 from dualcast.settings import FOREST_TREES, KEYS, SEED, TARGET, WEIGHT_CAP
 
 
@@ -157,10 +158,14 @@ def fit_forest(
 ):
     """Random forest on hard labels."""
     data = _vector(df, features).select("features", F.col(label).cast("double").alias("label"))
-    return RandomForestClassifier(
+    fitted = RandomForestClassifier(
         numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_samples_leaf,
         featureSubsetStrategy=str(max_features), seed=seed,
     ).fit(data)
+    # scoring ships the model to the tasks: the stored one leaves the training plan behind
+    path = scratch(df.sparkSession)
+    fitted.write().save(path)
+    return RandomForestClassificationModel.load(path)
 
 
 def score(df: DataFrame, model: LogisticRouter, name: str = "score") -> DataFrame:

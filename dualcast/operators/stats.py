@@ -16,7 +16,6 @@ from dualcast.settings import (
     BOOTSTRAP_REPETITIONS, CONFIDENCE, FAMILYWISE_ALPHA, MARGIN, SEED, TOLERANCE,
 )
 
-BROADCAST_CELLS = 2_000_000
 
 
 def metric_matrix(df: DataFrame, methods: Sequence[str], metric: str = "rmsse") -> DataFrame:
@@ -47,8 +46,6 @@ def bootstrap_means(wide: DataFrame, names: Sequence[str], repetitions: int, see
     draws = wide.sparkSession.range(repetitions * n).select(
         F.expr(f"id div {n}").alias("repetition"), _draw(F.expr(f"id div {n}"), F.expr(f"id % {n}"), n, seed).alias("_at")
     )
-    if n * len(names) <= BROADCAST_CELLS:
-        indexed = F.broadcast(indexed)
     return draws.join(indexed, "_at").groupBy("repetition").agg(*[F.avg(m).alias(m) for m in names])
 
 
@@ -226,12 +223,18 @@ def noninferiority(
 
 
 def summary_lists(pairwise: DataFrame, inferior: DataFrame | None = None) -> DataFrame:
-    """Comparators that are significantly worse or better than the primary (one entry per method)."""
+    """Comparators that are significantly worse or better than the primary (one entry per method).
+
+    With the table of ``noninferiority`` also those that the primary is not inferior to.
+    """
     names = lambda condition: F.sort_array(F.collect_list(F.when(condition, F.col("comparator"))))
-    return pairwise.agg(
+    lists = pairwise.agg(
         names(F.col("significant") & (F.col("direction") == "primary_better")).alias("significantly_better_than"),
         names(F.col("significant") & (F.col("direction") == "comparator_better")).alias("significantly_worse_than"),
     )
+    if inferior is None:
+        return lists
+    return lists.withColumn("noninferior_to", inferior.agg(names(F.col("noninferior")).alias("n")).scalar())
 
 
 def recompute_means(series: DataFrame, aggregate: DataFrame, metric: str = "rmsse", recorded: str = "mean_rmsse", tolerance: float = 1e-12) -> DataFrame:

@@ -10,7 +10,7 @@ from dualcast.operators import control, evaluate, features, forecast, prepare, r
 from dualcast.operators.blocks import attach, over_history
 from dualcast.operators.ranking import exact_quantiles
 from dualcast.plans.fixtures import daily_series, hourly_series, supplier_series
-from dualcast.session import scratch
+from dualcast.session import materialize, scratch  # noqa: F401
 from dualcast.settings import DAILY, HOURLY, KEYS, SUPPLIERS, TARGET, Family
 
 LAGS = 16
@@ -26,10 +26,9 @@ def forget() -> None:
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str, source: str, build) -> DataFrame:
-    """A stage table, written once per session and state of its source file and then read by every later stage."""
-    state = spark.read.parquet(f"{sf_dir}/{source}.parquet").select(
-        "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
-    ).distinct().orderBy("file_path").collect()  # one row per source file
+    """A stage table, written once per session and state of its source files (tables named in ``source``)."""
+    files = spark.read.format("binaryFile").load([f"{sf_dir}/{s}.parquet" for s in source.split()])
+    state = files.select("path", "length", "modificationTime").orderBy("path").collect()  # one row per file, contents unread
     key = (spark.sparkContext.applicationId, name, tuple(map(tuple, state)))
     if key in _STORED:
         try:
@@ -52,7 +51,8 @@ def split_panel(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> Da
 
 
 def _source(family: Family) -> str:
-    return {HOURLY: "events", DAILY: "orders", SUPPLIERS: "lineitem"}[family]
+    """The tables that a family's panel reads."""
+    return {HOURLY: "events", DAILY: "orders customer nation", SUPPLIERS: "lineitem"}[family]
 
 
 def stored_split(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFrame:

@@ -136,10 +136,27 @@ def a9(spark, sf):
     return checks.null_counts(checks.require_columns(table(spark, sf, "lineitem"), LINE_COLUMNS), LINE_COLUMNS)
 
 
-@query("a11_file_digests")
+@query("a11_file_digests", """
+WITH old AS (SELECT n_nationkey, n_name || chr(10) AS body FROM nation WHERE n_nationkey <> 1),
+now AS (SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 2 THEN lower(n_name) ELSE n_name END || chr(10) AS body FROM nation WHERE n_nationkey <> 3)
+SELECT 'key=' || n_nationkey AS folder, CAST(strlen(now.body) AS BIGINT) AS size_bytes, md5(now.body) AS md5, sha256(now.body) AS sha256,
+       CASE WHEN now.body IS NULL THEN 'missing' WHEN old.body IS NULL THEN 'new' WHEN old.body <> now.body THEN 'changed' ELSE 'same' END AS status
+FROM old FULL JOIN now USING (n_nationkey)""")
 def a11(spark, sf):
-    current = tables.file_digests(spark, sf)
-    return current.join(tables.diff_digests(current, current), "path").select("path", "size_bytes", "md5", "sha256", "status")
+    """Two inventories of a folder with one file per nation: some files change, one goes and one is new."""
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), "n_name")
+    folder = flow.scratch(spark)
+    found = []
+    for name, rows in (
+        ("old", nations.where("key <> 1")),
+        ("now", nations.where("key <> 3").withColumn("n_name", F.when(F.col("key") % 7 == 2, F.lower("n_name")).otherwise(F.col("n_name")))),
+    ):
+        rows.repartition("key").write.partitionBy("key").text(f"{folder}/{name}")
+        files = tables.file_digests(spark, f"{folder}/{name}").where(~F.col("path").startswith("_"))
+        found.append(flow.materialize(files.withColumn("path", F.substring_index("path", "/", 1))))  # part names differ
+    old, now = found
+    out = tables.diff_digests(now, old).join(now, "path", "left")
+    return out.select(F.col("path").alias("folder"), "size_bytes", "md5", "sha256", "status")
 
 
 @query("a12_snapshot_id", o.with_(o.HOURLY_PANEL, """

@@ -79,7 +79,8 @@ def read_series_text(spark: SparkSession, path: str | Sequence[str]) -> tuple[Da
     )
     well_formed = F.size("parts") == F.size("declared") + 1
     names = F.transform("declared", lambda a: a["name"])
-    ordered = global_rank(rows, [F.col("file"), F.col("_at"), F.col("_line")], "source_order")
+    place = ["file", "_at", "_line"]
+    ordered = rows.join(global_rank(rows.select(*place), [F.col(c) for c in place], "source_order"), place)
     return ordered.select(
         "file", "source_order", "declared", "line",
         F.when(well_formed, F.map_from_arrays(names, F.slice("parts", F.lit(1), F.size("declared")))).alias("attributes"),

@@ -65,11 +65,15 @@ def select_manifest(df: DataFrame, names: Sequence[str] = (), tiers: Sequence[st
     return df.where(F.col("tier").isin(*tiers)) if tiers else df
 
 
-def file_digests(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """md5, sha256 and size of every file under a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def file_digests(spark: SparkSession, root: str) -> DataFrame:
+    """md5, sha256 and size of every file under a folder, by its path below that folder.
+
+    A file's content is one cell, so a file must stay below 2 GB.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = root.rstrip("/").split("://", 1)[-1].lstrip("/") + "/"  # paths come with a scheme of their own
     return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), F.col("length").alias("size_bytes"),
+        F.substring_index("path", base, -1).alias("path"), F.col("length").alias("size_bytes"),
         F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"),
     )
 

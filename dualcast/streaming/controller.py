@@ -15,7 +15,7 @@ STATE_SCHEMA = (
 
 
 class StreamController:
-    """Routes closed steps batch by batch; a step closes when a later step of its dataset arrives.
+    """Routes closed steps batch by batch; a step closes when one more than ``lateness`` steps later arrives.
 
     Only one number per controller is carried between steps. The rows of a step are counted by all
     tasks and never gathered in a state store: the state and the rows of open steps live in tables
@@ -23,8 +23,8 @@ class StreamController:
     Rows of a step that is already closed are late; they are counted and not routed.
     """
 
-    def __init__(self, folder: str, settings: DataFrame, score: str = "score", step: str = "step"):
-        self.folder, self.settings, self.score, self.step = folder, settings, score, step
+    def __init__(self, folder: str, settings: DataFrame, score: str = "score", step: str = "step", lateness: int = 0):
+        self.folder, self.settings, self.score, self.step, self.lateness = folder, settings, score, step, lateness
 
     def _path(self, name: str, batch_id: int) -> str:
         return f"{self.folder}/{name}/batch_id={batch_id}"
@@ -51,8 +51,8 @@ class StreamController:
         fresh = marked.where(F.col(self.step) > F.col("_closed")).drop("_closed")
         newest = fresh.groupBy("dataset_id").agg(F.max(self.step).alias("_newest"))
         staged = fresh.join(newest, "dataset_id")
-        ready = staged.where(F.lit(flush) | (F.col(self.step) < F.col("_newest"))).drop("_newest")
-        waiting = staged.where(~F.lit(flush) & (F.col(self.step) == F.col("_newest"))).drop("_newest")
+        closes = F.lit(flush) | (F.col(self.step) < F.col("_newest") - self.lateness)
+        ready, waiting = staged.where(closes).drop("_newest"), staged.where(~closes).drop("_newest")
         start = {
             (s["dataset_id"], s["controller"]): {"step": s["step"] + 1, "bias": s["bias"], "simple": s["simple"], "rows": s["rows"]}
             for s in states
@@ -78,8 +78,14 @@ class StreamController:
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
         )
 
-    def finish(self, spark: SparkSession, schema, batch_id: int) -> None:
+    def last_batch(self, spark: SparkSession) -> int:
+        """The newest batch with a state, -1 before the first."""
+        states = spark.read.schema(STATE_SCHEMA).parquet(f"{self.folder}/state")
+        return max(-1, states.agg(F.max("batch_id")).first()[0])
+
+    def finish(self, spark: SparkSession, schema, batch_id: int | None = None) -> None:
         """Close the steps that are still open after the stream has ended."""
+        batch_id = self.last_batch(spark) + 1 if batch_id is None else batch_id
         self.process(spark.createDataFrame([], schema), batch_id, flush=True)
 
     def decisions(self, spark: SparkSession) -> DataFrame:
