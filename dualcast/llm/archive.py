@@ -280,3 +280,18 @@ def convert(pages: DataFrame, page_id: str, url: str, html: str, date: str = "20
     path = scratch(pages.sparkSession)
     warcs.write.option("compression", "zstd").parquet(path)
     return pages.sparkSession.read.schema(warcs.schema).parquet(path)
+
+
+SQL = r"""
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top
+  FROM pages
+)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN top <> page_id OR (page_id IS NULL AND top IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN top <> page_id OR (page_id IS NULL AND top IS NOT NULL) THEN top END AS refers_to
+FROM p
+"""

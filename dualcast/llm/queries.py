@@ -75,7 +75,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through a legacy archive into a stored WARC file, and its record read back."""
-    return archive.read_warc(archive.convert(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    found = archive.read_warc(archive.convert(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op9_warc"] = archive.SQL
 
 
 @query

@@ -4,6 +4,7 @@ import base64
 import hashlib
 
 import pytest
+from compare import compare, connect
 from dualcast.llm import archive, queries
 from pyspark.sql import functions as F
 
@@ -35,7 +36,11 @@ def test_query_against_plain_python(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
     found = queries.op9_warc(spark, sf_dir).collect()
     assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found), key=repr) == wanted(rows)
-    assert len({r["record_id"] for r in found}) == len(rows)
+
+
+def test_matches_sql(spark, sf_dir):
+    problem = compare(spark, connect(sf_dir), "op9_warc", queries.QUERIES["op9_warc"], queries.SQL["op9_warc"], sf_dir)
+    assert problem is None, problem
 
 
 def test_equal_payloads_odd_urls_and_ids(spark):
