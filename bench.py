@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -32,9 +33,14 @@ HEADLINE = [
 
 
 def main() -> None:
+    with tempfile.TemporaryDirectory(prefix="dualcast-bench-") as folder:
+        run(folder)
+
+
+def run(folder: str) -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session(cores=cpus, shuffle_partitions=cpus, app="dualcast-bench")
+    spark = build_session(cores=cpus, shuffle_partitions=cpus, app="dualcast-bench", checkpoint_dir=folder)
     spark.sparkContext.setLogLevel("ERROR")
     catalog.QUERIES["b6_value_counts"](spark, sf_dir).collect()  # starts the JVM's machinery
     seconds = {}

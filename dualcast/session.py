@@ -8,10 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "dualcast") -> SparkSession:
+def build_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, app: str = "dualcast", checkpoint_dir: str | None = None
+) -> SparkSession:
     """A local session for tests and benches. On a cluster the caller brings its own."""
+    builder = SparkSession.builder
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")

@@ -8,10 +8,11 @@ sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from dualcast.session import build_session
 
-    session = build_session(cores=8, shuffle_partitions=8, app="dualcast-tests")
+    folder = str(tmp_path_factory.mktemp("checkpoints"))  # pytest removes old ones
+    session = build_session(cores=8, shuffle_partitions=8, app="dualcast-tests", checkpoint_dir=folder)
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
