@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from dualcast.llm.common import arrow_pass, cells, materialize, text_of
 
-#: Labelled documents that a fit uses at most (about), the terms it looks at, and the insults that it keeps.
+#: Labelled documents that a fit uses at most, the terms it looks at, and the insults that it keeps.
 SAMPLE_ROWS, CANDIDATES, LEXICON = 20_000, 4_000, 400
 #: Beginnings of words that are counted besides words, and in how many toxic documents a term must be.
 STEMS, LEAST_DOCUMENTS = (4, 5, 6, 7), 3
@@ -154,14 +154,14 @@ def _terms(text: str) -> set[str]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Stored (text, toxic) of about ``rows`` labelled documents, never of the held-out fold, chosen by a hash of the id."""
+    """Stored (text, toxic) of at most ``rows`` labelled ids, never of the held-out fold: those of the least hashes.
+
+    The bounded list of ids is broadcast, so the texts are not shuffled.
+    """
     known = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("k"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out_column("k")).groupBy("k").agg(F.max("toxic").alias("toxic"))
-    total = known.count()
-    if total > rows:
-        share = F.lit(int(rows / total * 2**31))
-        known = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "k"), F.lit(2**31)) < share)
-    found = docs.select(F.col(doc_id).alias("k"), text_of(text).alias("text")).join(known, "k")
+    known = known.orderBy(F.xxhash64(F.lit("toxicity"), "k"), "k").limit(rows)
+    found = docs.select(F.col(doc_id).alias("k"), text_of(text).alias("text")).join(F.broadcast(known), "k")
     return materialize(found.select("text", "toxic"))
 
 
