@@ -75,17 +75,23 @@ def selected(gram: Column) -> Column:
 
 
 def fingerprints(sequences: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
-    """One row per selected gram: document, position, length, hash and the line hashes before and after it."""
-    found = sequences.select("doc", "digest", "lines", grams(F.col("lines"), gram_words, window_words).alias("grams"))
-    found = found.select("doc", "digest", "lines", F.explode(selected(F.col("grams"))).alias("g")).select(
-        "doc", "digest", F.col("g.h").alias("gram"), (-F.col("g.back")).alias("at"), F.col("g.k").alias("k"), "lines"
-    )
-    reach = F.lit(window_words)
-    left = F.slice("lines", F.greatest(F.lit(1), F.col("at") + 1 - reach), F.least(F.col("at"), reach))
-    return found.select(
-        "doc", "digest", "gram", "at", "k", F.reverse(left["h"]).alias("left"),
-        F.slice("lines", F.col("at") + 1 + F.col("k"), reach)["h"].alias("right"),
-    )
+    """One narrow row per selected gram: document, hash, position and length."""
+    found = sequences.select("doc", "digest", grams(F.col("lines"), gram_words, window_words).alias("grams"))
+    found = found.select("doc", "digest", F.explode(selected(F.col("grams"))).alias("g"))
+    return found.select("doc", "digest", F.col("g.h").alias("gram"), (-F.col("g.back")).alias("at"), F.col("g.k").alias("k"))
+
+
+def with_context(found: DataFrame, sequences: DataFrame, reach: int) -> DataFrame:
+    """Adds the line hashes before (nearest first) and after each gram; a document's grams meet its lines at once."""
+    own = found.groupBy(F.col("doc").alias("s_doc"), F.col("digest").alias("s_digest")).agg(F.collect_list(F.struct("gram", "at", "k")).alias("own"))
+    joined = sequences.join(own, F.col("doc").eqNullSafe(F.col("s_doc")) & (F.col("digest") == F.col("s_digest")))
+    hashes, limit = F.col("hashes"), F.lit(reach)
+    placed = joined.select("doc", "digest", "own", F.col("lines.h").alias("hashes")).select("doc", "digest", F.explode(F.transform("own", lambda g: F.struct(
+        g["gram"].alias("gram"), g["at"].alias("at"), g["k"].alias("k"),
+        F.reverse(F.slice(hashes, F.greatest(F.lit(1), g["at"] + 1 - limit), F.least(g["at"], limit))).alias("left"),
+        F.slice(hashes, g["at"] + 1 + g["k"], limit).alias("right"),
+    ))).alias("g"))
+    return placed.select("doc", "digest", "g.*")
 
 
 def _agree(a: str, b: str) -> Column:
@@ -98,12 +104,15 @@ def _agree(a: str, b: str) -> Column:
 def repeated_runs(sequences: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
     """``doc, digest, runs``: disjoint (low, high) among a document's lines with a word that occur earlier.
 
-    Anchors of grams that occur again are stored, so both sides of the join are plain exchanges and Spark
-    splits a gram that very many documents hold.
+    ``sequences`` has one row per document. Only grams that occur again get their context. Those and their
+    anchors are stored, so both sides of each join are plain exchanges and Spark splits a gram that very
+    many documents hold.
     """
-    found = fingerprints(sequences, gram_words, window_words)
+    narrow = fingerprints(sequences, gram_words, window_words)
+    again = materialize(narrow.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    found = materialize(with_context(narrow.join(again, "gram"), sequences, window_words))
     place = F.struct("doc", "digest", "at", "left", "right")
-    anchors = found.groupBy("gram").agg(F.min(place).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select(
+    anchors = found.groupBy("gram").agg(F.min(place).alias("a")).select(
         "gram", F.col("a.doc").alias("a_doc"), F.col("a.digest").alias("a_digest"), F.col("a.at").alias("a_at"),
         F.col("a.left").alias("a_left"), F.col("a.right").alias("a_right"),
     )
@@ -133,9 +142,8 @@ def dedup_lines(
     first. Every row is kept; no column name can clash.
     """
     text_column, digest = F.col(text), F.xxhash64(F.col(text))
-    sequences = materialize(
-        docs.select(F.col(doc_id).alias("doc"), digest.alias("digest"), line_hashes(text_column).alias("lines"))
-    )
+    sequences = docs.select(F.col(doc_id).alias("doc"), digest.alias("digest"), line_hashes(text_column).alias("lines"))
+    sequences = materialize(sequences.groupBy("doc", "digest").agg(F.first("lines").alias("lines")))
     runs = repeated_runs(sequences.where(F.size("lines") > 0), gram_words, window_words).select(
         F.col("doc").alias("k_doc"), F.col("digest").alias("k_digest"), "runs"
     )
