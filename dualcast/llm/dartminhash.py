@@ -5,11 +5,14 @@ A text is a weighted set of its word shingles (weight 1 + log2 of the count). Da
 see the same darts where their regions overlap. Each dart names a coordinate; a coordinate keeps its dart
 of least rank. Two texts agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Texts that agree in all coordinates of a band share its bucket. Equal texts are one node. In every bucket
-some members (hubs) are compared with the others, each round with twice as many hubs, until the members of
-each bucket are in one component or all their pairs have been compared; so no pair of a bucket is left
-out, and a bucket of near copies ends after one or two rounds, each linear in its size. Pairs whose
-signatures agree far too seldom are dropped, the others are compared by their whole shingle sets.
+Texts that agree in all coordinates of a band share its bucket. Equal texts are one node. In every bucket a
+few members, one of each slot of a hash, are hubs that the others are compared with. Where that leaves
+members of a bucket in different components, what is left is split by each further band, and rounds with
+more slots go on until one component holds the rest of a bucket or all its pairs have been compared. So
+no pair that shares two bands is left out, texts that only share a passage are not compared by the
+square of their number, and a bucket of near copies ends after one or two rounds, each linear in its
+size. Pairs whose signatures agree far too seldom are dropped, the others are compared by their whole
+shingle sets.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from dualcast.llm.common import arrow_pass, cells, materialize
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 5
-#: Agreeing coordinates below this share cannot come from similar texts (over five standard deviations).
+BANDS, ROWS = 28, 6
+#: Hubs of a bucket in the first round, and how many times as many in each further one.
+HUBS = 8
+#: Agreeing coordinates below this share cannot come from similar texts (six standard deviations).
 LEAST_AGREEMENT = 0.6
 KEPT_WORDS = 500_000
 _CDF = np.cumsum(np.exp(-1) / np.cumprod(np.concatenate(([1.0], np.arange(1, 16)))))
@@ -202,58 +207,87 @@ def linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, least: float = S
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     marked = pairs.join(side(nodes, "a", "marks"), "a").join(side(nodes, "b", "marks"), "b")
-    close = materialize(arrow_pass(marked.select("a", "b", "marks_a", "marks_b"), near, "a binary, b binary"))
+    close = arrow_pass(marked.select("a", "b", "marks_a", "marks_b"), near, "a binary, b binary")
     full = close.join(side(sets, "a", "elements", "counts"), "a").join(side(sets, "b", "elements", "counts"), "b")
     return arrow_pass(full.select("a", "b", "elements_a", "counts_a", "elements_b", "counts_b"), equal, "a binary, b binary")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Stored ``node, label``: the least node of its component; by least neighbours and pointer jumps."""
+def components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Stored ``node, label``: the least node of its component, from earlier labels and all links.
+
+    Each step takes the least label among the neighbours and then jumps to that label's label, so the
+    steps grow with the logarithm of a component's diameter.
+    """
     edges = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
     edges = materialize(edges.union(edges.select("y", "x")))
-    labels = materialize(nodes.select("node", F.col("node").alias("label")))
     while True:
         near = edges.join(labels.select(F.col("node").alias("x"), "label"), "x").groupBy(F.col("y").alias("node")).agg(F.min("label").alias("near"))
-        lower = materialize(labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label")))
+        lower = materialize(labels.join(near, "node", "left").select(
+            "node", F.least("label", F.coalesce("near", "label")).alias("label"), F.coalesce(F.col("near") < F.col("label"), F.lit(False)).alias("changed")
+        ))
+        if lower.where("changed").isEmpty():
+            return lower.drop("changed")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        after = materialize(lower.join(jump, "label").select("node", F.col("above").alias("label")))
-        changed = after.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty()
-        labels = after
-        if changed:
-            return labels
+        labels = materialize(lower.join(jump, "label").select("node", F.col("above").alias("label")))
+
+
+def _hubs(rest: DataFrame, step: int) -> DataFrame:
+    """Stored ``bucket, hub, hub_label``: the least member of each slot."""
+    slot = F.pmod(F.xxhash64(F.lit(step), "node"), F.lit(HUBS ** (step + 1)))
+    least = rest.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("node", "label")).alias("h"))
+    return materialize(least.select("bucket", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label")))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Stored labels after new links: only the components that a link joins are worked on."""
+    side = lambda at: labels.select(F.col("node").alias(at), F.col("label").alias(f"label_{at}"))
+    joined = links.join(side("a"), "a").join(side("b"), "b").where("label_a <> label_b")
+    between = materialize(joined.groupBy(F.col("label_a").alias("a"), F.col("label_b").alias("b")).agg(F.lit(1).alias("n")).select("a", "b"))
+    if between.isEmpty():
+        return labels
+    touched = between.select(F.col("a").alias("node")).union(between.select("b")).distinct()
+    found = components(materialize(touched.withColumn("label", F.col("node"))), between)
+    new = found.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return materialize(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
 
 
-def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Stored ``node, label`` of the nodes that share a bucket; ``texts`` (``node, text``) holds all nodes' texts."""
+def near_links(nodes: DataFrame, texts_of) -> DataFrame:
+    """Stored ``node, label`` of the nodes that share a bucket; ``texts_of`` gives (``node, text``) of stored nodes."""
     bucketed = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = bucketed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    active = materialize(bucketed.join(materialize(shared.select("bucket")), "bucket"))
-    members = materialize(active.select("node").distinct())
-    sets = materialize(shingle_sets(texts.join(members, "node")))
-    labels = materialize(members.select("node", F.col("node").alias("label")))
-    links, done, step = [], None, 0
+    rest = materialize(bucketed.join(materialize(shared.select("bucket")), "bucket").withColumn("label", F.col("node")))
+    labels = materialize(rest.groupBy("node").agg(F.col("node").alias("label")))
+    sets = materialize(shingle_sets(texts_of(labels.select("node"))))
+    done, step = None, 0
     while True:
-        slot = F.pmod(F.xxhash64(F.lit(step), "node"), F.lit(2**step))
-        hubs = active.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit(-1 - step), "node"), "node")).alias("h"))
-        hubs = materialize(hubs.select("bucket", F.col("h.node").alias("hub")).join(labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub"))
-        met = active.join(labels, "node").join(hubs, "bucket").where("node <> hub and label <> hub_label")
-        pairs = met.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.count(F.lit(1)).alias("n")).drop("n")
+        hubs = _hubs(rest, step)
+        met = rest.join(hubs, "bucket").where("label <> hub_label")
+        pairs = met.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.lit(1).alias("n")).select("a", "b")
         pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        links.append(materialize(linked(pairs, nodes, sets)))
-        done = pairs if done is None else materialize(done.union(pairs))
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        labels = components(members, every)
-        # a bucket is finished when one component holds its members, or every member has been a hub
-        spread = active.join(labels, "node").groupBy("bucket").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")
-        ).where("low < high").select("bucket", "n")
-        used = hubs.groupBy("bucket").agg(F.count(F.lit(1)).alias("used"))
-        open_buckets = materialize(spread.join(used, "bucket", "left").where("coalesce(used, 0) < n").select("bucket"))
-        if open_buckets.isEmpty():
+        done = pairs if done is None else done.union(pairs)
+        labels = _merged(labels, materialize(linked(pairs, nodes, sets)))
+        # hubs have met every other member; the rest of a bucket matters where it is in several components
+        rest = rest.drop("label").join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+        rest = rest.join(labels, "node")
+        spread = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        wide = materialize(spread.where("low < high").select("bucket"))
+        if wide.isEmpty():
             return labels
-        active, step = materialize(active.join(open_buckets, "bucket")), step + 1
+        rest = rest.join(wide, "bucket").select("bucket", "node", "label")
+        rest, step = materialize(_refined(rest, nodes) if step == 0 else rest), step + 1
+
+
+def _refined(rest: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Buckets by two bands: what is left of a bucket, split by each other band; those in one component go.
+
+    Texts that share a passage fill a bucket without being similar. Similar ones share further bands.
+    """
+    other = rest.join(nodes.select("node", "bands"), "node").select("bucket", "node", "label", F.explode("bands").alias("band"))
+    both = F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band"))
+    found = other.where("band <> bucket").groupBy(both.alias("bucket"), "node").agg(F.min("label").alias("label"))
+    found = materialize(found.select("bucket", "node", "label"))
+    several = found.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return found.join(materialize(several.select("bucket")), "bucket").select("bucket", "node", "label")
 
 
 def _classified(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -263,8 +297,13 @@ def _classified(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Dat
     own = F.col(text).cast("string")
     firsts = found.groupBy("node").agg(F.min("doc").alias("least"))
     rows = docs.select(F.col(doc_id).alias("doc"), text_key(own).alias("node"), own.alias("text")).where("node is not null")
-    texts = rows.join(firsts, "node").where(F.col("doc").eqNullSafe(F.col("least")))
-    labels = near_links(nodes, texts.dropDuplicates(["node"]).select("node", "text"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        one = materialize(firsts.join(wanted, "node")).withColumnRenamed("node", "n")
+        texts = rows.join(one, F.col("doc").eqNullSafe(F.col("least")) & (F.col("node") == F.col("n")))
+        return texts.dropDuplicates(["doc", "node"]).select("node", "text")
+
+    labels = near_links(nodes, texts_of)
     labelled = materialize(found.select("doc", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "node")
     classes = labelled.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
