@@ -17,6 +17,7 @@ shingle sets.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ HUBS = 8
 #: Agreeing coordinates below this share cannot come from similar texts (six standard deviations).
 LEAST_AGREEMENT = 0.6
 KEPT_WORDS = 500_000
+#: A word; rows and shingles must share one definition, since a text with a node needs a shingle.
+WORD = r"[^\x20\x09-\x0D]+"
 _CDF = np.cumsum(np.exp(-1) / np.cumprod(np.concatenate(([1.0], np.arange(1, 16)))))
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -59,7 +62,7 @@ class Shingler:
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Words are runs without white space, lower-cased; fewer than a shingle's are one shingle."""
-        found = text.lower().split()
+        found = re.findall(WORD, text.lower())
         kept = self.kept
         if len(kept) > KEPT_WORDS:
             kept.clear()
@@ -138,7 +141,7 @@ def _fixed_lists(values: np.ndarray) -> pa.ListArray:
 
 def text_key(text: Column) -> Column:
     """Equal lower-cased texts have one key; null where there is no word."""
-    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(F.lower(text).cast("binary"))))
+    return F.when(text.rlike(WORD), F.unhex(F.md5(F.lower(text).cast("binary"))))
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -86,3 +86,10 @@ def test_odd_rows(spark):
     found = sorted((r["doc_id"] or 0, r["class_id"], r["class_size"]) for r in near.near_duplicates(df).collect())
     assert found == [(0, 4, 3), (1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 3), (5, 4, 3), (6, 6, 1), (7, 7, 2), (7, 7, 2)]
     assert near.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_of_unicode_spaces_end(spark):
+    """White space beyond ASCII is a word like any other, in the rows and in the shingles."""
+    spaces = ["\u00a0", "\u3000", "\u2003 \u2003", "\x85", "\x1c\x1f", "\u00a0"]
+    assert all(len(near.Shingler()(s)[0]) for s in spaces)
+    assert classes(spark, list(enumerate(spaces))) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 0}
