@@ -31,7 +31,7 @@ SAMPLE_PAGES, VARIANTS, FEATURES = 2_000, 4, 4_000
 
 #: HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = "script|style|template|noscript|svg|math|iframe|object|canvas|head|title|textarea|select"
+SKIPPED = "script|style|template|noscript|svg|math|iframe|object|canvas|title|textarea|select"
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr br img".split()
@@ -61,7 +61,7 @@ OTHER_NAMES = (
 _SEED = 5
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b[^>]*+>.*?(?:</\1\s*+[^>]*+>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>/]++|/(?!>))*+/>|<({SKIPPED})\b[^>]*+>.*?(?:</\1\s*+[^>]*+>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.S | re.I,
 )
@@ -136,7 +136,7 @@ def parse(page: str) -> Tree:
                 tree.linked[stack[-1][1]] += len(text.split())
         at = token.end()
         tag = (token[3] or token[6] or "").lower()
-        if not tag:
+        if not tag or tag == "head":  # its end is optional; title, script and style are skipped by themselves
             continue
         if token[2] or token[5]:
             if opened[tag]:

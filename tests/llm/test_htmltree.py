@@ -78,3 +78,15 @@ def test_odd_rows(spark, model):
     own = htmltree.fit(empty)
     assert htmltree.extract(empty, own).count() == 0
     assert htmltree.main_text("<nav>menu</nav><article><p>A text of some words, with a stop.</p></article>", own) == "A text of some words, with a stop."
+
+
+PAGE = "<article><p>A text of some words, with a stop.</p></article>"
+
+
+@pytest.mark.parametrize("before", [
+    "<html><head><title>x</title><body>", "<html><head><meta charset=utf-8><title>x</title><style>p {}</style>",
+    "<head><title>x</title></head><body><svg/>", '<body><svg width="1" href="/a/b" /><math/>', "<svg><path/></svg><math><mi>x</mi></math>",
+])
+def test_optional_ends(model, before):
+    """A head without an end and a closed svg or math swallow nothing; their own content stays out."""
+    assert htmltree.main_text(before + PAGE, model) == "A text of some words, with a stop."
