@@ -62,3 +62,18 @@ def test_odd_rows(spark):
     (long,) = [r for r in found if r["doc_id"] == 3]
     assert (long["n_words"], long["n_repeat_words"], long["word_chars"]) == (100_000, 100_000, 100_000)
     assert outliers.quality(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_copied_junk_of_a_third_goes(spark):
+    """Equal junk is a point mass that a single classical start keeps inside from a fifth of a group on."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    rows, junk = [], {}
+    for source, share in (("a", 0.2), ("b", 0.24), ("c", 0.33), ("d", 0.45)):
+        copy = " ".join(word() + rng.choice(["###", "$$", "&&&"]) for _ in range(120))
+        for i in range(300):
+            doc = len(rows)
+            junk[doc] = i < share * 300
+            rows.append((doc, copy if junk[doc] else " ".join(word() for _ in range(rng.randrange(40, 400))), "en", source))
+    found = {r["doc_id"]: r["kept"] for r in outliers.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [d for d in found if found[d] == junk[d]] == []
