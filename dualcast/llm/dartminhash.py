@@ -4,6 +4,7 @@ A text is a weighted set of its word shingles (weight 1 + log2 of the count). Da
 (element's weight) x (rank) as a Poisson process that only hashes of element and cell decide, so two texts
 see the same darts where their regions overlap. Each dart names a coordinate; a coordinate keeps its dart
 of least rank. Two texts agree in a coordinate with the probability of their weighted Jaccard similarity.
+With all weights one it is the plain similarity; texts with repeated shingles carry that signature too.
 
 Texts that agree in all coordinates of a band share its bucket. Equal texts are one node. In every bucket a
 few members, one of each slot of a hash, are hubs that the others are compared with. Where that leaves
@@ -134,9 +135,33 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return key
 
 
-def _fixed_lists(values: np.ndarray) -> pa.ListArray:
-    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1).view(np.int64)))
+def two_sketches(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Distinct band keys and the marks of each set's weighted and plain signatures.
+
+    Without repeated shingles both signatures are one and the marks are held once. Keys of both kinds share
+    one space, so a text without repeats meets the plain signature of a text with some.
+    """
+    weighted = signatures(sets, BANDS * ROWS)
+    keys, marks = list(band_keys(weighted)), [m.tobytes() for m in weighted.astype(np.uint8)]
+    again = [i for i, (_, counts) in enumerate(sets) if (counts > 1).any()]
+    if again:
+        plain = signatures([(sets[i][0], np.ones_like(sets[i][1])) for i in again], BANDS * ROWS)
+        for i, key, mark in zip(again, band_keys(plain), plain.astype(np.uint8)):
+            keys[i] = np.union1d(keys[i], key)
+            marks[i] += mark.tobytes()
+    return keys, marks
+
+
+def agreement(x: bytes, y: bytes) -> int:
+    """Coordinates that agree in the weighted (first) or the plain (last) signatures, whichever are more."""
+    a, b, k = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), BANDS * ROWS
+    found = int((a[:k] == b[:k]).sum())
+    return found if len(a) == len(b) == k else max(found, int((a[-k:] == b[-k:]).sum()))
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).view(np.int64)))
 
 
 def text_key(text: Column) -> Column:
@@ -145,7 +170,7 @@ def text_key(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc, node, bands, marks`` of the rows with a word: band keys, and a byte of each coordinate."""
+    """``doc, node, bands, marks`` of the rows with a word: band keys, and a byte of each coordinate, of both signatures."""
     kind = dict(docs.dtypes)[doc_id]
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +178,9 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            sketch = signatures([shingle(t) for t in cells(batch, "text")], BANDS * ROWS)
-            marks = pa.array([m.tobytes() for m in sketch.astype(np.uint8)], pa.binary())
+            keys, marks = two_sketches([shingle(t) for t in cells(batch, "text")])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), _fixed_lists(band_keys(sketch)), marks], ["doc", "node", "bands", "marks"]
+                [batch.column(0), batch.column(1), _lists(keys), pa.array(marks, pa.binary())], ["doc", "node", "bands", "marks"]
             )
 
     own = F.col(text).cast("string")
@@ -195,7 +219,7 @@ def linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, least: float = S
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             agree = [
-                int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= LEAST_AGREEMENT * BANDS * ROWS
+                agreement(x, y) >= LEAST_AGREEMENT * BANDS * ROWS
                 for x, y in zip(cells(batch, "marks_a"), cells(batch, "marks_b"))
             ]
             yield batch.select(["a", "b"]).filter(pa.array(agree, pa.bool_()))

@@ -93,3 +93,13 @@ def test_texts_of_unicode_spaces_end(spark):
     spaces = ["\u00a0", "\u3000", "\u2003 \u2003", "\x85", "\x1c\x1f", "\u00a0"]
     assert all(len(near.Shingler()(s)[0]) for s in spaces)
     assert classes(spark, list(enumerate(spaces))) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 0}
+
+
+def test_repeated_passages_are_near_by_plain_similarity(spark):
+    """A text and itself several times over share nearly all shingles, but little of their weight."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(0, 120, 3):
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(104))
+        rows += [(i, text), (i + 1, f"{text} {text}"), (i + 2, " ".join([text] * 5))]
+    assert classes(spark, rows) == brute_classes(rows)
