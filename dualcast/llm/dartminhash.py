@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from dualcast.llm.common import arrow_pass, cells, materialize
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 28, 6
+#: So many bands that a pair at the threshold shares two of them but for 2e-4: later rounds ask for two.
+BANDS, ROWS = 37, 6
 #: Hubs of a bucket in the first round, and how many times as many in each further one.
 HUBS = 8
 #: Agreeing coordinates below this share cannot come from similar texts (six standard deviations).

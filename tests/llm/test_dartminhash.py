@@ -103,3 +103,8 @@ def test_repeated_passages_are_near_by_plain_similarity(spark):
         text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(104))
         rows += [(i, text), (i + 1, f"{text} {text}"), (i + 2, " ".join([text] * 5))]
     assert classes(spark, rows) == brute_classes(rows)
+
+
+def test_bands_miss_few_pairs_that_must_share_two():
+    p, n = near.SIMILARITY**near.ROWS, near.BANDS
+    assert (1 - p) ** n + n * p * (1 - p) ** (n - 1) <= 2e-4
