@@ -15,6 +15,8 @@ from dualcast.session import materialize, scratch
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows per Arrow batch; a text may be very long, so a batch holds few of them.
 BATCH_ROWS = 128
+#: Bytes per slice of a batch; very long texts come in smaller slices.
+BATCH_BYTES = 16 << 20
 
 __all__ = ["BATCH_ROWS", "SPACES", "arrow_pass", "cells", "materialize", "scratch", "split_words", "table", "text_of"]
 
@@ -39,8 +41,21 @@ def cells(batch: pa.RecordBatch, name: str) -> list:
 
 
 def arrow_pass(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = BATCH_ROWS
 ) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    """``mapInArrow`` over slices of at most so many rows and ``BATCH_BYTES``, unless one row alone is larger.
+
+    The session's own batch size stays as it is: a task cuts the batches that it is given.
+    """
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(part for batch in batches for part in slices(batch, rows))
+
+    return df.mapInArrow(sliced, schema)
+
+
+def slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of bounded rows and bytes."""
+    each = max(1, min(rows, int(most * max(1, len(batch)) / max(1, batch.get_total_buffer_size()))))
+    for at in range(0, len(batch), each):
+        yield batch.slice(at, each)

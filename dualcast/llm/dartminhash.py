@@ -6,20 +6,16 @@ see the same darts where their regions overlap. Each dart names a coordinate; a
 of least rank. Two texts agree in a coordinate with the probability of their weighted Jaccard similarity.
 With all weights one it is the plain similarity; texts with repeated shingles carry that signature too.
 
-Texts that agree in all coordinates of a band share its bucket. Equal texts are one node. In every bucket a
-few members, one of each slot of a hash, are hubs that the others are compared with. Where that leaves
-members of a bucket in different components, what is left is split by each further band, and rounds with
-more slots go on until one component holds the rest of a bucket or all its pairs have been compared. So
-no pair that shares two bands is left out, texts that only share a passage are not compared by the
-square of their number, and a bucket of near copies ends after one or two rounds, each linear in its
-size. Pairs whose signatures agree far too seldom are dropped, the others are compared by their whole
-shingle sets.
+Texts that agree in all coordinates of a band share its bucket. Equal texts are one node. ``setlinks``
+compares the members of every bucket inside bounded blocks: parity sketches rule pairs out without losing
+a link, the others are compared by their whole shingle sets. Every two texts that share one band end in
+one class, or have been found to be no link, whatever the size of the bucket.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dualcast.llm.common import arrow_pass, cells, materialize
+from dualcast.llm.setlinks import link_components, packed_sets, shared_members
 
 WORDS, SIMILARITY = 5, 0.8
-#: So many bands that a pair at the threshold shares two of them but for 2e-4: later rounds ask for two.
+#: So many bands that a pair at the threshold shares none of them with a probability of 1.3e-5.
 BANDS, ROWS = 37, 6
-#: Hubs of a bucket in the first round, and how many times as many in each further one.
-HUBS = 8
-#: Agreeing coordinates below this share cannot come from similar texts (six standard deviations).
-LEAST_AGREEMENT = 0.6
 KEPT_WORDS = 500_000
 #: A word; rows and shingles must share one definition, since a text with a node needs a shingle.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,12 +52,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct shingle hashes and their counts; word hashes are kept between texts."""
 
-    def __init__(self, words: int = WORDS) -> None:
-        self.words, self.kept = words, {}
+    def __init__(self, words: int = WORDS, lower: Callable[[str], str] = str.lower) -> None:
+        self.words, self.lower, self.kept = words, lower, {}
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Words are runs without white space, lower-cased; fewer than a shingle's are one shingle."""
-        found = re.findall(WORD, text.lower())
+        found = re.findall(WORD, self.lower(text))
         kept = self.kept
         if len(kept) > KEPT_WORDS:
             kept.clear()
@@ -136,28 +129,18 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return key
 
 
-def two_sketches(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], list[bytes]]:
-    """Distinct band keys and the marks of each set's weighted and plain signatures.
+def keys_of(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Distinct band keys of each set's weighted and plain signatures, which are one without repeated shingles.
 
-    Without repeated shingles both signatures are one and the marks are held once. Keys of both kinds share
-    one space, so a text without repeats meets the plain signature of a text with some.
+    Keys of both kinds share one space, so a text without repeats meets the plain signature of a text with some.
     """
-    weighted = signatures(sets, BANDS * ROWS)
-    keys, marks = list(band_keys(weighted)), [m.tobytes() for m in weighted.astype(np.uint8)]
+    keys = list(band_keys(signatures(sets, BANDS * ROWS)))
     again = [i for i, (_, counts) in enumerate(sets) if (counts > 1).any()]
     if again:
         plain = signatures([(sets[i][0], np.ones_like(sets[i][1])) for i in again], BANDS * ROWS)
-        for i, key, mark in zip(again, band_keys(plain), plain.astype(np.uint8)):
+        for i, key in zip(again, band_keys(plain)):
             keys[i] = np.union1d(keys[i], key)
-            marks[i] += mark.tobytes()
-    return keys, marks
-
-
-def agreement(x: bytes, y: bytes) -> int:
-    """Coordinates that agree in the weighted (first) or the plain (last) signatures, whichever are more."""
-    a, b, k = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), BANDS * ROWS
-    found = int((a[:k] == b[:k]).sum())
-    return found if len(a) == len(b) == k else max(found, int((a[-k:] == b[-k:]).sum()))
+    return keys
 
 
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
@@ -171,37 +154,25 @@ def text_key(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc, node, bands, marks`` of the rows with a word: band keys, and a byte of each coordinate, of both signatures."""
+    """``doc, node, bands`` of the rows with a word: the band keys of both signatures."""
     kind = dict(docs.dtypes)[doc_id]
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
-            if not len(batch):
-                continue
-            keys, marks = two_sketches([shingle(t) for t in cells(batch, "text")])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), _lists(keys), pa.array(marks, pa.binary())], ["doc", "node", "bands", "marks"]
-            )
+            keys = keys_of([shingle(t) for t in cells(batch, "text")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(keys)], ["doc", "node", "bands"])
 
-    own = F.col(text).cast("string")
-    rows = docs.select(F.col(doc_id).alias("doc"), text_key(own).alias("node"), own.alias("text")).where("node is not null")
-    return arrow_pass(rows, passes, f"doc {kind}, node binary, bands array<long>, marks binary")
+    return arrow_pass(_rows(docs, doc_id, text), passes, f"doc {kind}, node binary, bands array<long>")
 
 
-def shingle_sets(rows: DataFrame) -> DataFrame:
-    """``node, elements, counts`` of rows (``node, text``), both arrays packed."""
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    own = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).alias("doc"), text_key(own).alias("node"), own.alias("text")).where("node is not null")
 
-    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
-        for batch in batches:
-            found = [shingle(t) for t in cells(batch, "text")]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([e.astype("<u8").tobytes() for e, _ in found], pa.binary()),
-                pa.array([c.astype("<u4").tobytes() for _, c in found], pa.binary()),
-            ], ["node", "elements", "counts"])
 
-    return arrow_pass(rows.select("node", "text"), passes, "node binary, elements binary, counts binary")
+def weight(elements: np.ndarray, counts: np.ndarray) -> float:
+    return float((1 + np.log2(counts)).sum())
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -213,126 +184,23 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, least / (float(x.sum()) + float(y.sum()) - least))
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (``a, b``) at least so similar; both joins are plain exchanges, which Spark can split."""
-    side = lambda table, at, *names: table.select(F.col("node").alias(at), *[F.col(n).alias(f"{n}_{at}") for n in names])
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            agree = [
-                agreement(x, y) >= LEAST_AGREEMENT * BANDS * ROWS
-                for x, y in zip(cells(batch, "marks_a"), cells(batch, "marks_b"))
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(agree, pa.bool_()))
-
-    def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [cells(batch, c) for c in ("elements_a", "counts_a", "elements_b", "counts_b")]
-            keep = [
-                similarity((np.frombuffer(e, "<u8"), np.frombuffer(c, "<u4")), (np.frombuffer(f, "<u8"), np.frombuffer(d, "<u4"))) >= least
-                for e, c, f, d in zip(*columns)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    marked = pairs.join(side(nodes, "a", "marks"), "a").join(side(nodes, "b", "marks"), "b")
-    close = arrow_pass(marked.select("a", "b", "marks_a", "marks_b"), near, "a binary, b binary")
-    full = close.join(side(sets, "a", "elements", "counts"), "a").join(side(sets, "b", "elements", "counts"), "b")
-    return arrow_pass(full.select("a", "b", "elements_a", "counts_a", "elements_b", "counts_b"), equal, "a binary, b binary")
-
-
-def components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Stored ``node, label``: the least node of its component, from earlier labels and all links.
-
-    Each step takes the least label among the neighbours and then jumps to that label's label, so the
-    steps grow with the logarithm of a component's diameter.
-    """
-    edges = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    edges = materialize(edges.union(edges.select("y", "x")))
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("x"), "label"), "x").groupBy(F.col("y").alias("node")).agg(F.min("label").alias("near"))
-        lower = materialize(labels.join(near, "node", "left").select(
-            "node", F.least("label", F.coalesce("near", "label")).alias("label"), F.coalesce(F.col("near") < F.col("label"), F.lit(False)).alias("changed")
-        ))
-        if lower.where("changed").isEmpty():
-            return lower.drop("changed")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        labels = materialize(lower.join(jump, "label").select("node", F.col("above").alias("label")))
-
-
-def _hubs(rest: DataFrame, step: int) -> DataFrame:
-    """Stored ``bucket, hub, hub_label``: the least member of each slot."""
-    slot = F.pmod(F.xxhash64(F.lit(step), "node"), F.lit(HUBS ** (step + 1)))
-    least = rest.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("node", "label")).alias("h"))
-    return materialize(least.select("bucket", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label")))
-
-
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Stored labels after new links: only the components that a link joins are worked on."""
-    side = lambda at: labels.select(F.col("node").alias(at), F.col("label").alias(f"label_{at}"))
-    joined = links.join(side("a"), "a").join(side("b"), "b").where("label_a <> label_b")
-    between = materialize(joined.groupBy(F.col("label_a").alias("a"), F.col("label_b").alias("b")).agg(F.lit(1).alias("n")).select("a", "b"))
-    if between.isEmpty():
-        return labels
-    touched = between.select(F.col("a").alias("node")).union(between.select("b")).distinct()
-    found = components(materialize(touched.withColumn("label", F.col("node"))), between)
-    new = found.select(F.col("node").alias("label"), F.col("label").alias("new"))
-    return materialize(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
-
-
-def near_links(nodes: DataFrame, texts_of) -> DataFrame:
-    """Stored ``node, label`` of the nodes that share a bucket; ``texts_of`` gives (``node, text``) of stored nodes."""
-    bucketed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = bucketed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    rest = materialize(bucketed.join(materialize(shared.select("bucket")), "bucket").withColumn("label", F.col("node")))
-    labels = materialize(rest.groupBy("node").agg(F.col("node").alias("label")))
-    sets = materialize(shingle_sets(texts_of(labels.select("node"))))
-    done, step = None, 0
-    while True:
-        hubs = _hubs(rest, step)
-        met = rest.join(hubs, "bucket").where("label <> hub_label")
-        pairs = met.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.lit(1).alias("n")).select("a", "b")
-        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        done = pairs if done is None else done.union(pairs)
-        labels = _merged(labels, materialize(linked(pairs, nodes, sets)))
-        # hubs have met every other member; the rest of a bucket matters where it is in several components
-        rest = rest.drop("label").join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-        rest = rest.join(labels, "node")
-        spread = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        wide = materialize(spread.where("low < high").select("bucket"))
-        if wide.isEmpty():
-            return labels
-        rest = rest.join(wide, "bucket").select("bucket", "node", "label")
-        rest, step = materialize(_refined(rest, nodes) if step == 0 else rest), step + 1
-
-
-def _refined(rest: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Buckets by two bands: what is left of a bucket, split by each other band; those in one component go.
-
-    Texts that share a passage fill a bucket without being similar. Similar ones share further bands.
-    """
-    other = rest.join(nodes.select("node", "bands"), "node").select("bucket", "node", "label", F.explode("bands").alias("band"))
-    both = F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band"))
-    found = other.where("band <> bucket").groupBy(both.alias("bucket"), "node").agg(F.min("label").alias("label"))
-    found = materialize(found.select("bucket", "node", "label"))
-    several = found.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return found.join(materialize(several.select("bucket")), "bucket").select("bucket", "node", "label")
+def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    return similarity(a, b) >= SIMILARITY
 
 
 def _classified(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Stored ``doc, node, label`` of the rows with a word, and per label its first (doc, node) and size."""
     found = materialize(sketches(docs, doc_id, text))
-    nodes = materialize(found.groupBy("node").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks")))
-    own = F.col(text).cast("string")
-    firsts = found.groupBy("node").agg(F.min("doc").alias("least"))
-    rows = docs.select(F.col(doc_id).alias("doc"), text_key(own).alias("node"), own.alias("text")).where("node is not null")
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        one = materialize(firsts.join(wanted, "node")).withColumnRenamed("node", "n")
-        texts = rows.join(one, F.col("doc").eqNullSafe(F.col("least")) & (F.col("node") == F.col("n")))
-        return texts.dropDuplicates(["doc", "node"]).select("node", "text")
-
-    labels = near_links(nodes, texts_of)
-    labelled = materialize(found.select("doc", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    nodes = found.groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc").alias("least"))
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()))
+    rest = shared_members(nodes.select("id", F.explode("bands").alias("bucket"), F.lit(0).alias("role")))
+    one = materialize(nodes.select("id", F.col("node").alias("n"), "least").join(rest.select("id").distinct(), "id"))
+    # the same plan at every size: texts go to their representatives
+    texts = _rows(docs, doc_id, text).join(one.hint("merge"), F.col("doc").eqNullSafe(F.col("least")) & (F.col("node") == F.col("n")))
+    sets = materialize(packed_sets(texts.dropDuplicates(["doc", "node"]).select("id", "text"), Shingler, weight))
+    labels = link_components(rest, sets, similar, (1 - SIMILARITY) / (1 + SIMILARITY))
+    named = nodes.select("node", "id").join(labels, "id", "left").select("node", F.coalesce("label", "id").alias("label"))
+    labelled = materialize(found.select("doc", "node").join(named, "node"))
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "node")
     classes = labelled.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
     return labelled, materialize(classes.select("label", F.col("first.doc").alias("class_id"), F.col("first.node").alias("node"), "class_size"))

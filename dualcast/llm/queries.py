@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dualcast.llm import archive, audio, bpe, dartminhash, htmltree, langid, linededup, mixing, outliers, toxicity
+from dualcast.llm import archive, audio, bpe, dartminhash, htmltree, jaccardjoin, langid, linededup, mixing, outliers, toxicity
 from dualcast.llm.common import table
 
 QUERIES = {}
@@ -88,3 +88,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = bpe.public_vocabulary()
     encoded = bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path, pattern)
     return bpe.digests(encoded, "doc_id", path)
+
+
+@query
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of word triples, nine tenths or more in common."""
+    return jaccardjoin.join_components(table(spark, sf_dir, "documents"))
