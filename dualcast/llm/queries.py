@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dualcast.llm import archive, audio, bpe, dartminhash, htmltree, jaccardjoin, langid, linededup, mixing, outliers, toxicity
+from dualcast.llm import archive, audio, bpe, dartminhash, filteraudit, htmltree, jaccardjoin, langid, linededup, mixing, outliers, tokenalign, toxicity
 from dualcast.llm.common import table
 
 QUERIES = {}
@@ -90,6 +90,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded, "doc_id", path)
 
 
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two tokenizers, aligned and weighed by how often their ids are linked."""
+    import public_tokenizers
+
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return tokenalign.align_documents(table(spark, sf_dir, "documents"), first, second)
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in all orders, per source."""
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op12_filter_audit"] = filteraudit.SQL
+
+
 @query
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under links of word triples, nine tenths or more in common."""
