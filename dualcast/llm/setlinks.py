@@ -49,6 +49,8 @@ def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
         else:
             b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+    if len(a) * len(b) * a.shape[1] <= 1 << 16:
+        return np.bitwise_count(a[:, None] ^ b[None]).sum(2, dtype=np.int32)
     out = np.zeros((len(a), len(b)), np.int32)
     for word in range(a.shape[1]):
         out += np.bitwise_count(a[:, word, None] ^ b[None, :, word])
@@ -101,6 +103,17 @@ def tree(block: Block, part: float) -> tuple[np.ndarray, np.ndarray]:
     return ids[np.array(a, np.int64)], ids[np.array(b, np.int64)]
 
 
+def two_allowed(c: dict[str, np.ndarray], sketches: list[bytes], part: float) -> bool:
+    """Whether the two members of a bucket may be linked; most buckets have no more."""
+    a, b = sketches
+    while len(a) != len(b):
+        a, b = sorted((a, b), key=len)
+        half = len(b) // 2
+        b = (int.from_bytes(b[:half], "little") ^ int.from_bytes(b[half:], "little")).to_bytes(half, "little")
+    far = (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+    return far <= c["size"].sum() * part + 1e-6 and not c["role"][0] & c["role"][1] and c["id"][0] != c["id"][1]
+
+
 def between(x: Block, y: Block, part: float, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """The closest allowed pairs of each two components, and whether there are more of them."""
     allowed, far = x.allowed(y, part)
@@ -116,61 +129,72 @@ def between(x: Block, y: Block, part: float, limit: int) -> tuple[np.ndarray, np
     return x.ids[i[kept]], y.ids[j[kept]], not kept.all()
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Block]]:
-    """The members of each (bucket, x, y), which are next to each other and may span batches."""
-    names = ("bucket", "x", "y", "block", "id", "size", "role", "label")
-    rest: list[list[np.ndarray]] = []
-    sketches: list[list[bytes]] = []
+_NAMES = ("bucket", "x", "y", "block", "id", "size", "role", "label")
 
-    def whole() -> tuple[np.ndarray, Block]:
-        c = dict(zip(names, map(np.concatenate, zip(*rest))))
-        return c["block"], Block(c["id"], c["size"], [s for part in sketches for s in part], c["role"], c["label"])
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], list[bytes]]]:
+    """Columns and sketches of the members of each (bucket, x, y), which are next to each other and may span batches."""
+    rest: list[list[np.ndarray]] = []
+    sketches: list[bytes] = []
     last = None
     for batch in batches:
         if not len(batch):
             continue
-        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in _NAMES]
         own = cells(batch, "sketch")
         key = np.stack([c.astype(np.int64) for c in columns[:3]], 1)
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]).tolist()
         for a, b in zip(starts, [*starts[1:], len(key)]):
             if last is not None and (key[a] != last).any():
-                yield whole()
+                yield dict(zip(_NAMES, rest[0] if len(rest) == 1 else map(np.concatenate, zip(*rest)))), sketches
                 rest, sketches = [], []
             last = key[a]
             rest.append([c[a:b] for c in columns])
-            sketches.append(own[a:b])
+            sketches = sketches + own[a:b]
     if rest:
-        yield whole()
+        yield dict(zip(_NAMES, map(np.concatenate, zip(*rest)))), sketches
+
+
+def _members(c: dict[str, np.ndarray], sketches: list[bytes], at: np.ndarray) -> Block:
+    return Block(c["id"][at], c["size"][at], [sketches[i] for i in at], c["role"][at], c["label"][at])
 
 
 def _pairs(rows: DataFrame, part: float, limit: int | None) -> DataFrame:
     """Stored ``a, b, more`` of rows grouped by (bucket, x, y); without a limit the forests of the groups."""
 
+    def found(c: dict[str, np.ndarray], sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray, bool]:
+        block, everyone = c["block"], np.arange(len(sketches))
+        if limit is None:
+            if len(sketches) == 2:
+                n = int(two_allowed(c, sketches, part))
+                return c["id"][:n], c["id"][1 : 1 + n], False
+            return *tree(_members(c, sketches, everyone), part), False
+        if (block == block[0]).all():
+            own = _members(c, sketches, everyone)
+            return between(own, own, part, limit)
+        x, y = (_members(c, sketches, np.flatnonzero(block == b)) for b in (block.min(), block.max()))
+        return between(x, y, part, limit)
+
+    def batch_of(parts: list[tuple[np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
+        a, b = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        more = np.repeat([p[2] for p in parts], [len(p[0]) for p in parts])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], ["a", "b", "more"])
+
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, members in _groups(batches):
-            more = False
-            if limit is None:
-                a, b = tree(members, part)
-            elif (block == block[0]).all():
-                a, b, more = between(members, members, part, limit)
-            else:
-                sides = []
-                for value in (block.min(), block.max()):
-                    at = np.flatnonzero(block == value)
-                    sketches: list[bytes] = [b""] * len(members.ids)
-                    for to, table in members.tables:
-                        for k, row in zip(to, table):
-                            sketches[k] = row.tobytes()
-                    sides.append(Block(members.ids[at], members.sizes[at], [sketches[k] for k in at], members.roles[at], members.labels[at]))
-                a, b, more = between(*sides, part, limit)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([more] * len(a))], ["a", "b", "more"])
+        parts, held = [], 0
+        for c, sketches in _groups(batches):
+            if len(sketches) > 1:
+                parts.append(found(c, sketches))
+                held += len(parts[-1][0])
+            if held > 4096 or len(parts) > 4096:
+                yield batch_of(parts)
+                parts, held = [], 0
+        if parts:
+            yield batch_of(parts)
 
     dealt = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    found = arrow_pass(dealt.select("bucket", "x", "y", "block", "id", "size", "sketch", "role", "label"), passes, "a long, b long, more boolean", rows=4096)
-    return materialize(found.groupBy("a", "b").agg(F.max("more").alias("more")))
+    made = arrow_pass(dealt.select("bucket", "x", "y", "block", "id", "size", "sketch", "role", "label"), passes, "a long, b long, more boolean", rows=4096)
+    return materialize(made.groupBy("a", "b").agg(F.max("more").alias("more")))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, check: Check) -> DataFrame:
