@@ -40,11 +40,11 @@ SPARE = 8
 ROW_COST = 64
 #: A key: scheme, segment and a hash of the subset.
 SEGMENT_BITS, HASH_BITS = 22, 36
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def lower_ascii(text: str) -> str:
-    return text.translate(_LOWER)
+    """A-Z lower-cased; bytes know no other letters."""
+    return text.encode().lower().decode()
 
 
 def shingler(words: int = WORDS) -> Shingler:
