@@ -78,9 +78,10 @@ def attach(
 def rows_so_far(df: DataFrame, keys: Sequence[str] = KEYS, name: str = "_row", index: str = "time_index") -> DataFrame:
     """How many rows of its series come before each row: counted inside its block, plus the blocks before.
 
-    Gaps in the index do not matter.
+    Gaps in the index do not matter. Rows without an index count and come first; rows with a null key belong
+    to no series and are left out.
     """
-    blocked = df.withColumn("_slot", F.expr(f"`{index}` div {BLOCK_ROWS}"))
+    blocked = df.withColumn("_slot", F.coalesce(F.expr(f"`{index}` div {BLOCK_ROWS}"), F.lit(-1).cast("bigint")))
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
     counts = blocked.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(*keys, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

@@ -149,7 +149,10 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def contiguity(df: DataFrame, step: str = "hour", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Whether each series' index runs 0..n-1 without gaps and its timestamps advance by one step."""
+    """Whether each series' index runs 0..n-1 without gaps and its timestamps advance by one step.
+
+    A row without an index is a gap, one without a timestamp a broken step unless no row has one.
+    """
     seconds = {"hour": 3600, "day": 86400}[step]
     micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
     # both runs are free of gaps exactly where they stay level with the number of rows so far
@@ -157,8 +160,8 @@ def contiguity(df: DataFrame, step: str = "hour", keys: Sequence[str] = KEYS) ->
         *keys, (F.col("time_index") - F.col("_row")).alias("_i"), (micros - F.col("_row") * (seconds * 1_000_000)).alias("_t")
     )
     return numbered.groupBy(*keys).agg(
-        ((F.min("_i") == 0) & (F.max("_i") == 0)).alias("index_contiguous"),
-        F.coalesce(F.min("_t") == F.max("_t"), F.lit(True)).alias("step_constant"),
+        ((F.count("_i") == F.count(F.lit(1))) & F.coalesce((F.min("_i") == 0) & (F.max("_i") == 0), F.lit(False))).alias("index_contiguous"),
+        ((F.count("_t") == 0) | ((F.count("_t") == F.count(F.lit(1))) & (F.min("_t") == F.max("_t")))).alias("step_constant"),
     )
 
 

@@ -1,7 +1,8 @@
 """Exact global ranks, running totals and quantiles that stay distributed.
 
-There is one plan at every size: a range sort, rows numbered inside each sorted partition, the result
-stored, and one total per partition combined. No group is gathered in a task, however many rows it has.
+Ranks and running totals have one plan at every size: a range sort, rows numbered inside each sorted
+partition, the result stored, and one total per partition combined. Quantiles narrow each wanted rank to
+a bracket first. No group is gathered in a task, however many rows it has.
 """
 
 from __future__ import annotations
@@ -55,42 +56,86 @@ def running_totals(df: DataFrame, order: Sequence[Column], totals: dict[str, str
     return out
 
 
+#: A sketch's ranks are off by at most one part in so many of a group's rows.
+ACCURACY = 10_000
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], column: str, probabilities: Sequence[float], name: str = "quantiles"
 ) -> DataFrame:
-    """Linear-interpolated exact quantiles per group, as an array in the order of ``probabilities``."""
+    """Linear-interpolated exact quantiles per group, as an array in the order of ``probabilities``.
+
+    One pass over the stored narrow values brackets every quantile by a sketch of bounded size, a second one
+    counts exactly what lies below and above both ends and finds their neighbours. Where a wanted rank lies
+    further inside a bracket, only the values in it (a few parts in ``ACCURACY``) are sorted globally.
+    """
     keys = list(keys)
     values = df.select(*keys, F.col(column).alias("_v")).where(F.col("_v").isNotNull())
     if not keys:
-        return _ranked_quantiles(values.withColumn("_all", F.lit(1)), ["_all"], probabilities, name).drop("_all")
-    return _ranked_quantiles(values, keys, probabilities, name)
+        return _bracketed_quantiles(values.withColumn("_all", F.lit(1)), ["_all"], probabilities, name).drop("_all")
+    return _bracketed_quantiles(values, keys, probabilities, name)
 
 
-def _ranked_quantiles(values: DataFrame, keys: list[str], probabilities: Sequence[float], name: str) -> DataFrame:
-    """Two order statistics per probability, picked from a global sort of the distinct values."""
-    distinct = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    order = [*[F.col(k) for k in keys], F.col("_v")]
-    ranked = running_totals(distinct, order, {"_upto": "_c"})
-    groups = ranked.groupBy(*keys).agg(
-        F.min(F.col("_upto") - F.col("_c")).alias("_before"), F.sum("_c").alias("_n")
-    )
-    wanted = groups.select(
-        *keys, "_before",
-        F.posexplode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("_i", "_p"), "_n",
-    ).withColumn("_at", F.col("_p") * (F.col("_n") - 1))
-    picked = ranked.join(wanted, keys).select(
-        *keys, "_i", "_at", "_v",
-        (F.col("_upto") - F.col("_c") - F.col("_before")).alias("_from"),
-        (F.col("_upto") - F.col("_before") - 1).alias("_to"),
-    )
-    lower, upper = F.floor("_at"), F.ceil("_at")
-    holds = lambda position: (F.col("_from") <= position) & (position <= F.col("_to"))
-    pair = picked.where(holds(lower) | holds(upper)).groupBy(*keys, "_i", "_at").agg(
-        F.max(F.when(holds(lower), F.col("_v"))).alias("_lo"), F.max(F.when(holds(upper), F.col("_v"))).alias("_hi")
-    )
+def _bracketed_quantiles(values: DataFrame, keys: list[str], probabilities: Sequence[float], name: str) -> DataFrame:
+    values = materialize(values)
+    margin = 2.0 / ACCURACY
+    ends = [end for p in probabilities for end in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_b"))
+    joined = values.join(materialize(sketch), keys)
+    measures = []
+    for i in range(len(ends)):
+        v, end = F.col("_v"), F.col("_b")[i]
+        measures += [
+            F.count(F.when(v < end, 1)).alias(f"_below{i}"), F.count(F.when(v <= end, 1)).alias(f"_upto{i}"),
+            F.max(F.when(v < end, v)).alias(f"_left{i}"), F.min(F.when(v > end, v)).alias(f"_right{i}"),
+        ]
+    counted = materialize(joined.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_b").alias("_b"), *measures))
+
+    def at(rank: Column, i: int) -> Column:
+        """The value of a rank next to, or at, one end of a bracket."""
+        below, upto = F.col(f"_below{i}"), F.col(f"_upto{i}")
+        return (
+            F.when((below <= rank) & (rank < upto), F.col("_b")[i])
+            .when(rank == below - 1, F.col(f"_left{i}")).when(rank == upto, F.col(f"_right{i}"))
+        )
+
+    entries = []
+    for i, p in enumerate(probabilities):
+        place = F.lit(float(p)) * (F.col("_n") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        inside = (F.col(f"_upto{2 * i}") <= low) & (high < F.col(f"_below{2 * i + 1}"))
+        entries.append(F.struct(
+            F.lit(i).alias("i"), place.alias("place"), F.coalesce(at(low, 2 * i), at(low, 2 * i + 1)).alias("low"),
+            F.coalesce(at(high, 2 * i), at(high, 2 * i + 1)).alias("high"), inside.alias("inside"),
+            F.col("_b")[2 * i].alias("from"), F.col("_b")[2 * i + 1].alias("to"), F.when(inside, F.col(f"_upto{2 * i}")).otherwise(0).alias("before"),
+        ))
+    found = counted.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e.*")
+    missing = F.col("low").isNull() | F.col("high").isNull()
+    rest = materialize(found.where(missing).select(*keys, "i", "place", "inside", "from", "to", "before"))
+    if not rest.isEmpty():
+        found = found.where(~missing).select(*keys, "i", "place", "low", "high").unionByName(_inner_ranks(values, rest, keys))
     # same blend as the built-in: weights against the two neighbouring ranks
-    blended = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
-        (F.ceil("_at") - F.col("_at")) * F.col("_lo") + (F.col("_at") - F.floor("_at")) * F.col("_hi")
+    blended = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(
+        (F.ceil("place") - F.col("place")) * F.col("low") + (F.col("place") - F.floor("place")) * F.col("high")
+    )
+    whole = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", blended.alias("q")))).alias("_a"))
+    return whole.select(*keys, F.col("_a.q").alias(name))
+
+
+def _inner_ranks(values: DataFrame, rest: DataFrame, keys: list[str]) -> DataFrame:
+    """``low`` and ``high`` of the wanted places by a global sort of the values between the ends of their brackets.
+
+    A bracket that does not hold its place (``inside`` is false) opens to the whole group.
+    """
+    between = ~F.col("inside") | ((F.col("_v") > F.col("from")) & (F.col("_v") < F.col("to")))
+    distinct = values.join(rest, keys).where(between).groupBy(*keys, "i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    group = [*keys, "i"]
+    ranked = running_totals(distinct, [*[F.col(k) for k in group], F.col("_v")], {"_upto": "_c"})
+    starts = ranked.groupBy(*group).agg(F.min(F.col("_upto") - F.col("_c")).alias("_start"))
+    placed = ranked.join(rest.join(starts, group).select(*group, "place", (F.col("before") - F.col("_start")).alias("_shift")), group)
+    upto = F.col("_upto") + F.col("_shift")
+    holds = lambda rank: (upto - F.col("_c") <= rank) & (rank < upto)
+    low, high = F.floor("place"), F.ceil("place")
+    return placed.where(holds(low) | holds(high)).groupBy(*group, "place").agg(
+        F.max(F.when(holds(low), F.col("_v"))).alias("low"), F.max(F.when(holds(high), F.col("_v"))).alias("high")
     )
-    entries = pair.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", blended.alias("_q")))).alias("_a"))
-    return entries.select(*keys, F.col("_a._q").alias(name))

@@ -704,7 +704,7 @@ def g11(spark, sf):
     return rounded(_trace(spark, sf, _calibration(spark, sf), [0.0]).drop("dataset_id"), "bias_before effective_threshold bias_after")
 
 
-STREAM_FILES = 4
+STREAM_RANGES = 4
 STREAM = o.HOURLY_SCORED + o.controller(o.TEST, [0.05], o.threshold(f"({o.CAL})"))
 
 
@@ -712,9 +712,9 @@ STREAM = o.HOURLY_SCORED + o.controller(o.TEST, [0.05], o.threshold(f"({o.CAL})"
 SELECT controller, s.series_id, s.time_index, s.step, score < effective_threshold AS use_simple, {o.rs('bias_before bias_after')}
 FROM trace t JOIN ({o.TEST}) s ON s.step = t.step"""))
 def g12(spark, sf):
-    """The test segment arrives as files of one stream, which is stopped halfway and started again.
+    """The test segment arrives in ranges of steps; after each the stream takes what is new and is started again.
 
-    Each file is a range of steps; every fifth series brings the last step of a range one file late.
+    Every fifth series brings the last step of a range one range late.
     """
     from dualcast.streaming.controller import StreamController
 
@@ -723,16 +723,15 @@ def g12(spark, sf):
     base = flow.base_threshold(rows)
     keep = [*KEYS, "time_index", "step", "score", "y_true", "simple_prediction", "complex_prediction", "mase_denominator"]
     test = control.relative_step(rows.where(F.col("split") == "test")).select(*keep)
-    width = max(1, -(-(test.agg(F.max("step")).first()[0] + 1) // STREAM_FILES))
+    newest = test.agg(F.max("step")).first()[0]
+    width = max(1, -(-((-1 if newest is None else newest) + 1) // STREAM_RANGES))
     late = (F.col("step") % width == width - 1) & (F.pmod(F.xxhash64(*KEYS), F.lit(5)) == 0)
     arriving = flow.materialize(test.withColumn("part", F.expr(f"step div {width}") + late.cast("int")))
     schema = test.schema
     controller = StreamController(folder, control.controllers(spark, [HOURLY.dataset_id], base, TARGET, [0.05]), lateness=2)
-    for part in range(STREAM_FILES + 1):  # the last one holds what is late in the last range
-        arriving.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/input")
-        if part in (STREAM_FILES // 2, STREAM_FILES):
-            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/input")
-            controller.start(stream, f"{folder}/checkpoint").awaitTermination()
+    for part in range(STREAM_RANGES + 1):  # the last one holds what is late in the last range
+        arriving.where(F.col("part") == part).drop("part").repartition(*KEYS).write.mode("append").parquet(f"{folder}/input")
+        controller.start(spark.readStream.schema(schema).parquet(f"{folder}/input"), f"{folder}/checkpoint").awaitTermination()
     controller.finish(spark, schema)
     out = controller.decisions(spark).select("controller", *ID, "step", "use_simple", "bias_before", "bias_after")
     return rounded(out, "bias_before bias_after")

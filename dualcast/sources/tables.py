@@ -68,12 +68,14 @@ def select_manifest(df: DataFrame, names: Sequence[str] = (), tiers: Sequence[st
 def file_digests(spark: SparkSession, root: str) -> DataFrame:
     """md5, sha256 and size of every file under a folder, by its path below that folder.
 
-    A file's content is one cell, so a file must stay below 2 GB.
+    A file's content is one cell, so a file must stay below 2 GB. The root names one folder, no pattern.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://", 1)[-1].lstrip("/") + "/"  # paths come with a scheme of their own
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(root)
+    whole = folder.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
     return files.select(
-        F.substring_index("path", base, -1).alias("path"), F.col("length").alias("size_bytes"),
+        F.substr("path", F.lit(len(whole) + 2)).alias("path"), F.col("length").alias("size_bytes"),
         F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"),
     )
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,9 +31,11 @@ class StreamController:
         return f"{self.folder}/{name}/batch_id={batch_id}"
 
     def _previous(self, spark: SparkSession, batch_id: int) -> list:
+        """One row per controller, also of those that have closed no step yet (step -1)."""
         if batch_id == 0:
-            return []
-        return spark.read.schema(STATE_SCHEMA).parquet(self._path("state", batch_id - 1)).collect()  # one row per controller
+            known = self.settings.select("dataset_id", "controller").distinct().collect()
+            return [Row(dataset_id=k["dataset_id"], controller=k["controller"], step=-1, bias=0.0, simple=0, rows=0, late_rows=0) for k in known]
+        return spark.read.schema(STATE_SCHEMA).parquet(self._path("state", batch_id - 1)).collect()
 
     def process(self, batch: DataFrame, batch_id: int, flush: bool = False) -> None:
         spark = batch.sparkSession
@@ -41,7 +44,7 @@ class StreamController:
         for s in states:
             closed[s["dataset_id"]] = max(closed.get(s["dataset_id"], -1), s["step"])
         rows = batch
-        if states:
+        if batch_id > 0:  # whether or not a step has been closed so far
             rows = rows.unionByName(spark.read.schema(batch.schema).parquet(self._path("open", batch_id - 1)))
         rows = rows.cache()
         done = spark.createDataFrame(list(closed.items()) or [("", -1)], "dataset_id string, _closed long")
@@ -55,7 +58,7 @@ class StreamController:
         ready, waiting = staged.where(closes).drop("_newest"), staged.where(~closes).drop("_newest")
         start = {
             (s["dataset_id"], s["controller"]): {"step": s["step"] + 1, "bias": s["bias"], "simple": s["simple"], "rows": s["rows"]}
-            for s in states
+            for s in states if s["step"] >= 0
         }
         trace = route_adaptive(ready, self.settings, self.score, self.step, start=start)
         trace.write.mode("overwrite").parquet(self._path("trace", batch_id))
@@ -80,8 +83,13 @@ class StreamController:
 
     def last_batch(self, spark: SparkSession) -> int:
         """The newest batch with a state, -1 before the first."""
-        states = spark.read.schema(STATE_SCHEMA).parquet(f"{self.folder}/state")
-        return max(-1, states.agg(F.max("batch_id")).first()[0])
+        try:
+            newest = spark.read.schema(STATE_SCHEMA).parquet(f"{self.folder}/state").agg(F.max("batch_id")).first()[0]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return -1
+        return -1 if newest is None else newest
 
     def finish(self, spark: SparkSession, schema, batch_id: int | None = None) -> None:
         """Close the steps that are still open after the stream has ended."""

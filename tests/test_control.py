@@ -76,6 +76,33 @@ def test_stream_equals_batch_and_counts_late_rows(spark, scores, tmp_path):
     assert spark.read.parquet(str(tmp_path / "state" / "state" / "batch_id=4")).first()["late_rows"] == 2
 
 
+@pytest.mark.parametrize("bounds", [[0, 2, 8, 120], [0, 1, 2, 3, 120], [0, 120]])
+def test_stream_keeps_rows_of_batches_that_close_no_step(spark, scores, tmp_path, bounds):
+    """With some lateness the first batches close nothing; the query is made anew before every batch."""
+    from dualcast.streaming.controller import StreamController
+
+    settings = control.controllers(spark, ["d"], 0.6, 0.7, [0.02])
+    keep = ["dataset_id", "series_id", "time_index", "step", "score", "y_true", "simple_prediction", "complex_prediction", "mase_denominator"]
+    rows, folder = scores.select(*keep).where("series_id < '3'"), str(tmp_path / "state")
+    assert StreamController(folder, settings).last_batch(spark) == -1
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        StreamController(folder, settings, lateness=2).process(rows.where(F.col("step").between(a, b - 1)), i)
+        assert StreamController(folder, settings).last_batch(spark) == i
+    last = StreamController(folder, settings, lateness=2)
+    last.finish(spark, rows.schema)
+    columns = ["step", "simple_count", "batch_rows", "bias_before", "bias_after"]
+    assert last.trace(spark).orderBy("step").select(*columns).collect() == control.route_adaptive(rows, settings).orderBy("step").select(*columns).collect()
+    assert last.decisions(spark).count() == rows.count()
+
+
+def test_a_stream_without_rows_ends(spark, scores, tmp_path):
+    from dualcast.streaming.controller import StreamController
+
+    stream = StreamController(str(tmp_path / "state"), control.controllers(spark, ["d"], 0.6, 0.7, [0.02]))
+    stream.finish(spark, scores.schema)
+    assert stream.decisions(spark).count() == 0 and stream.last_batch(spark) == 0
+
+
 def test_rolling_usage_guard_and_partial(spark):
     trace = spark.createDataFrame([("d", "c", i, i % 3, 4) for i in range(5)], "dataset_id string, controller string, step long, simple_count long, batch_rows long")
     full = [r["rolling_usage"] for r in control.rolling_usage(trace, 3).orderBy("step").collect()]

@@ -23,6 +23,22 @@ def test_gap_at_and_inside_a_block_edge(spark, missing):
     assert row["index_contiguous"] and row["step_constant"]
 
 
+def test_rows_without_an_index_are_gaps(spark):
+    df = series(spark, [0, 1, 2, 3]).union(series(spark, [None]).withColumn("timestamp", F.timestamp_seconds(F.lit(0)).cast("timestamp_ntz")))
+    assert not checks.contiguity(df).first()["index_contiguous"]
+    assert not checks.contiguity(series(spark, [None])).first()["index_contiguous"]
+    unnamed = df.unionByName(df.withColumn("series_id", F.lit(None).cast("string")))
+    assert [r["series_id"] for r in checks.contiguity(unnamed).collect()] == ["s"]
+
+
+def test_paths_below_a_root_whose_name_recurs(spark, tmp_path):
+    for name in ("data/x/data/f", "data/y/data/f", "data/data", "data/ä b/f"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name) if not (tmp_path / name).is_dir() else None
+    for root in (f"{tmp_path}/data", f"{tmp_path}/data/", f"file://{tmp_path}/data"):
+        assert {r["path"] for r in tables.file_digests(spark, root).collect()} == {"x/data/f", "y/data/f", "data", "ä b/f"}
+
+
 def test_steps_count_rows(spark):
     found = control.relative_step(series(spark, [0, 1, 2, 3, 5, 3838, 3841, 9000])).orderBy("time_index")
     assert [r["step"] for r in found.collect()] == list(range(8))
