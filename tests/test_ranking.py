@@ -31,17 +31,6 @@ def test_global_quantiles(skewed):
     np.testing.assert_allclose(row["quantiles"], np.quantile(skewed.toPandas()["v"], PROBABILITIES), atol=1e-12)
 
 
-@pytest.mark.parametrize("accuracy", [4, 50])
-def test_quantiles_inside_wide_brackets(skewed, monkeypatch, accuracy):
-    """A coarse sketch leaves many ranks to the sort of what its brackets hold; NaN is the largest value."""
-    monkeypatch.setattr(ranking, "ACCURACY", accuracy)
-    test_hot_group_quantiles(skewed)
-    odd = skewed.withColumn("v", F.when(F.col("v") > 3, F.lit(float("nan"))).otherwise(F.col("v")))
-    got = {r["k"]: r["quantiles"] for r in ranking.exact_quantiles(odd, ["k"], "v", [0.2, 0.5]).collect()}
-    for k, part in skewed.toPandas().groupby("k"):
-        np.testing.assert_allclose(got[k], np.quantile(part["v"], [0.2, 0.5]), atol=1e-12)
-
-
 def test_quantiles_of_few_and_no_values(spark):
     df = spark.createDataFrame([("a", 1), ("b", 5), ("b", 2), ("c", None), ("d", 7), ("d", 7), ("d", 7)], "k string, v int")
     got = {r["k"]: r["q"] for r in ranking.exact_quantiles(df, ["k"], "v", [0.0, 0.5, 1.0], "q").collect()}
