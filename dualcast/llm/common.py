@@ -15,8 +15,8 @@ from dualcast.session import materialize, scratch
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows per Arrow batch; a text may be very long, so a batch holds few of them.
 BATCH_ROWS = 128
-#: Bytes per slice of a batch; very long texts come in smaller slices.
-BATCH_BYTES = 16 << 20
+#: Bytes per batch and slice; very long texts come in smaller ones.
+BATCH_BYTES = 2 << 20
 
 __all__ = ["BATCH_ROWS", "SPACES", "arrow_pass", "cells", "materialize", "scratch", "split_words", "table", "text_of"]
 
@@ -45,8 +45,13 @@ def arrow_pass(
 ) -> DataFrame:
     """``mapInArrow`` over slices of at most so many rows and ``BATCH_BYTES``, unless one row alone is larger.
 
-    The session's own batch size stays as it is: a task cuts the batches that it is given.
+    The session's limit of bytes per batch is lowered where it is higher; its limit of rows stays as it is, so
+    other functions keep their batches of many short rows.
     """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(name, None)
+    if held is None or not held.rstrip("bB").isdigit() or int(held.rstrip("bB")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return function(part for batch in batches for part in slices(batch, rows))
