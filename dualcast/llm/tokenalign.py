@@ -103,9 +103,14 @@ class Sides:
 def align(a: np.ndarray, b: np.ndarray, sides: Sides) -> tuple[int, str, np.ndarray, np.ndarray]:
     """Groups, their text's digest, and the ids of both sides of each link, of a text with tokens."""
     ends_a, ends_b = np.cumsum(sides.size_a[a]), np.cumsum(sides.size_b[b])
-    both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    upto_a, upto_b = np.searchsorted(ends_a, both) + 1, np.searchsorted(ends_b, both) + 1
-    group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+    # one flag per byte offset: where tokens of either side, and of both, end
+    flag_a, flag_b = np.zeros(ends_a[-1] + 1, bool), np.zeros(ends_a[-1] + 1, bool)
+    flag_a[ends_a] = flag_b[ends_b] = True
+    flag = flag_a & flag_b
+    count_a, count_b, count = (np.cumsum(f, dtype=np.int32) for f in (flag_a, flag_b, flag))
+    both = np.flatnonzero(flag)
+    upto_a, upto_b = count_a[both], count_b[both]
+    group_a, group_b = count[ends_a] - flag[ends_a], count[ends_b] - flag[ends_b]
     # a group shows its tokens of the first side, then those of the second
     shown = np.empty(len(a) + len(b), np.int64)
     mark = np.zeros(len(a), np.int64)
@@ -115,8 +120,8 @@ def align(a: np.ndarray, b: np.ndarray, sides: Sides) -> tuple[int, str, np.ndar
     mark[upto_b - 1] = 2
     shown[np.arange(len(b)) + upto_a[group_b]] = b + mark * sides.ids
     digest = hashlib.sha256(b"".join(sides.shown[shown].tolist())[:-1]).hexdigest()
-    ends = np.union1d(ends_a, ends_b)
-    return len(both), digest, a[np.searchsorted(ends_a, ends)], b[np.searchsorted(ends_b, ends)]
+    ends = np.flatnonzero(flag_a | flag_b)
+    return len(both), digest, a[count_a[ends] - flag_a[ends]], b[count_b[ends] - flag_b[ends]]
 
 
 @functools.lru_cache(maxsize=1)
