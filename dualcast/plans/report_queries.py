@@ -265,13 +265,16 @@ def i7_tests(spark, sf):
     return rounded(_pairwise(spark, sf).select("comparator", "statistic", "p_value", "holm_p", "significant"), "statistic p_value holm_p")
 
 
-@query("i8_noninferiority", o.with_(SERIES + boot_chain("rmsse", COMPARED, f"""
+NONINFERIOR_SQL = o.with_(SERIES + boot_chain("rmsse", COMPARED, f"""
 SELECT b.series_id, b.method AS name, a.rmsse - {1 + MARGIN} * b.rmsse AS v FROM series_metrics b JOIN series_metrics a
   ON a.series_id = b.series_id AND a.method = '{PRIMARY}' WHERE b.method IN ({', '.join(repr(m) for m in COMPARED)})""") +
   ranks_sql("(SELECT * FROM series_metrics WHERE method NOT LIKE '%oracle')", "series_id", "rmsse", 1 + MARGIN), f"""
 SELECT comparator, {o.r(f'avg(p) / avg(q / {1 + MARGIN}) - 1', 'observed_relative_difference')}, {o.r('avg(d)', 'margin_adjusted_difference')},
        {o.r('any_value(u)', 'bootstrap_upper_bound')}, {o.r('any_value(w_plus)', 'statistic')}, any_value(u) < 0 AS bootstrap_supports
-FROM pairs JOIN wsums USING (comparator) JOIN (SELECT name AS comparator, quantile_cont(m, {CONFIDENCE}) AS u FROM boot GROUP BY 1) USING (comparator) GROUP BY 1"""))
+FROM pairs JOIN wsums USING (comparator) JOIN (SELECT name AS comparator, quantile_cont(m, {CONFIDENCE}) AS u FROM boot GROUP BY 1) USING (comparator) GROUP BY 1""")
+
+
+@query("i8_noninferiority", NONINFERIOR_SQL)
 def i8(spark, sf):
     out = stats.noninferiority(_series(spark, sf), PRIMARY, COMPARED, repetitions=REPS)
     columns = "observed_relative_difference margin_adjusted_difference bootstrap_upper_bound statistic"
@@ -296,14 +299,16 @@ def i10(spark, sf):
     return rounded(stats.recompute_means(series, evaluate.method_metrics(series)), "recorded recomputed")
 
 
-@query("i11_summary_lists", o.with_(PAIR_SQL, """
+@query("i11_summary_lists", o.with_(PAIR_SQL, f"""
 SELECT string_agg(comparator, ',' ORDER BY comparator) FILTER (direction = 'primary_better') AS significantly_better_than,
-       string_agg(comparator, ',' ORDER BY comparator) FILTER (direction = 'comparator_better') AS significantly_worse_than
+       string_agg(comparator, ',' ORDER BY comparator) FILTER (direction = 'comparator_better') AS significantly_worse_than,
+       (SELECT string_agg(comparator, ',' ORDER BY comparator) FROM ({NONINFERIOR_SQL}) WHERE bootstrap_supports) AS noninferior_to
 FROM pairwise WHERE ci_upper_difference < 0 OR ci_lower_difference > 0"""))
 def i11(spark, sf):
-    """The lists, with the bootstrap interval standing in for the test (SQL has no normal tail)."""
+    """The three lists, with the bootstrap interval and bound standing in for the tests (SQL has no normal tail)."""
     rows = _pairwise(spark, sf).withColumn("significant", (F.col("ci_upper_difference") < 0) | (F.col("ci_lower_difference") > 0))
-    out = stats.summary_lists(rows)
+    inferior = stats.noninferiority(_series(spark, sf), PRIMARY, COMPARED, repetitions=REPS)
+    out = stats.summary_lists(rows, inferior.withColumn("noninferior", F.col("bootstrap_supports")))
     return out.select(*[F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c) for c in out.columns])
 
 
