@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dualcast.functions.expressions import clip_probability, column, soft_target, tie_key
+from dualcast.operators.logistic import MAX_PASSES, Fit, Point, fit_many
 from dualcast.operators.ranking import exact_quantiles, running_totals
 from dualcast.session import scratch
 from dualcast.settings import FOREST_TREES, KEYS, SEED, TARGET, WEIGHT_CAP
@@ -82,19 +83,13 @@ def _vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
-def _logistic(data: DataFrame, c_value: float, mass: float, intercept: bool, max_iter: int, tol: float):
-    """L1 logistic regression whose penalty matches ``C`` on weights that add up to ``mass``."""
-    return LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="weight", elasticNetParam=1.0, standardization=False,
-        regParam=1.0 / (c_value * mass), fitIntercept=intercept, maxIter=max_iter, tol=tol,
-    ).fit(data)
-
-
 @dataclass(frozen=True)
 class LogisticRouter:
     features: tuple[str, ...]
     coefficients: tuple[float, ...]
     intercept: float
+    violation: float = 0.0  # of the optimality conditions, as a share of the penalty
+    passes: int = 0
 
     def probability(self) -> Column:
         margin = F.lit(self.intercept)
@@ -104,28 +99,22 @@ class LogisticRouter:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
+def _router(fit: Fit) -> LogisticRouter:
+    if not fit.converged:
+        raise ValueError(f"not optimal after {fit.passes} passes: off by {fit.violation:.1e} of the penalty")
+    return LogisticRouter(fit.point.features, fit.coefficients, fit.intercept, fit.violation, fit.passes)
+
+
 def fit_soft_logistic(
     df: DataFrame, features: Sequence[str], c_value: float, weight: str | None = None,
-    penalize_intercept: bool = False, max_iter: int = 300, tol: float = 1e-8,
+    penalize_intercept: bool = False, max_passes: int = MAX_PASSES,
 ) -> LogisticRouter:
-    """L1 logistic on the soft-label copies of ``df`` (columns: features, ``soft_target``)."""
-    doubled = duplicate_soft(df, weight=weight)
-    if not penalize_intercept:
-        data = _vector(doubled, features).select("features", "label", "weight").cache()
-        mass = data.agg(F.sum("weight")).first()[0]
-        model = _logistic(data, c_value, mass, True, max_iter, tol)
-        data.unpersist()
-        return LogisticRouter(tuple(features), tuple(map(float, model.coefficients)), float(model.intercept))
-    # the solver zeroes constant columns, so the penalised constant alternates by 1e-3 around 1
-    parity = F.pmod(F.xxhash64(*features), F.lit(2)) * 2 - 1
-    data = _vector(doubled.withColumn("_one", 1.0 + 1e-3 * parity), [*features, "_one"]).select(
-        "features", "label", "weight"
-    ).cache()
-    mass = data.agg(F.sum("weight")).first()[0]
-    model = _logistic(data, c_value, mass, False, max_iter, tol)
-    data.unpersist()
-    weights = list(map(float, model.coefficients))
-    return LogisticRouter(tuple(features), tuple(weights[:-1]), weights[-1])
+    """L1 logistic on soft labels (columns: features, ``soft_target``), as on the two weighted copies of each row.
+
+    An error where the optimality conditions are not met within ``max_passes``.
+    """
+    point = Point(tuple(features), c_value, weight=weight, penalize_intercept=penalize_intercept)
+    return _router(fit_many(df, [point], max_passes=max_passes)[0])
 
 
 def class_weights(df: DataFrame, label: str = "complex_better") -> DataFrame:
@@ -137,19 +126,16 @@ def class_weights(df: DataFrame, label: str = "complex_better") -> DataFrame:
 
 def fit_hard_logistic(
     df: DataFrame, features: Sequence[str], c_value: float, balanced: bool = False, label: str = "complex_better",
-    max_iter: int = 300, tol: float = 1e-8,
+    penalize_intercept: bool = False, max_passes: int = MAX_PASSES,
 ) -> LogisticRouter:
     """L1 logistic on hard labels, optionally with balanced class weights."""
-    weight = F.lit(1.0)
+    name = None
     if balanced:
         table = {r["label"]: r["weight"] for r in class_weights(df, label).collect()}
-        weight = F.when(F.col(label) == 1, table.get(1, 1.0)).otherwise(table.get(0, 1.0))
-    data = _vector(df.withColumn("label", F.col(label)).withColumn("weight", weight), features)
-    data = data.select("features", "label", "weight").cache()
-    mass = data.agg(F.sum("weight")).first()[0]
-    model = _logistic(data, c_value, mass, True, max_iter, tol)
-    data.unpersist()
-    return LogisticRouter(tuple(features), tuple(map(float, model.coefficients)), float(model.intercept))
+        name = "_class_weight"
+        df = df.withColumn(name, F.when(F.col(label) == 1, table.get(1, 1.0)).otherwise(table.get(0, 1.0)))
+    point = Point(tuple(features), c_value, target=label, weight=name, penalize_intercept=penalize_intercept)
+    return _router(fit_many(df, [point], max_passes=max_passes)[0])
 
 
 def fit_forest(

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dualcast.operators import control, features, forecast, prepare, router
+from dualcast.operators import control, features, forecast, prepare, router, tuning
 from dualcast.plans import flow
 from dualcast.plans import oracle as o
 from dualcast.plans.fixtures import daily_series, hourly_series, table
 from dualcast.plans.panel_queries import _base_counts, fold_chain
 from dualcast.plans.registry import longs, query, rounded
 from dualcast.session import materialize
-from dualcast.settings import ETAS, HOURLY, KEYS, SAMPLE_CAP, SUPPLIERS, TARGET
+from dualcast.settings import C_GRID, ETAS, HOURLY, KEYS, RESIDUAL_LAGS, SAMPLE_CAP, SUPPLIERS, TARGET, TEMPERATURES
 
 ID = ["series_id", "time_index"]
 
@@ -314,7 +314,7 @@ def f3(spark, sf):
     return rounded(router.standardize(rows, model).select(*ID, *F3), F3, 5)
 
 
-def _training(spark, sf, lags=4, temperature=0.5):
+def _training(spark, sf, lags=flow.LAGS, temperature=0.5):
     rows = flow.scored_table(spark, sf)
     names = features.features_for_lag(flow.feature_names(), lags)
     training = rows.where(F.col("split") == "router_train")
@@ -335,10 +335,10 @@ def _fitted(name, fit):
         return out
 
 
-_fitted("f4_f12_soft_logistic", lambda rows, names: router.fit_soft_logistic(rows, names, 1.0, max_iter=50))
-_fitted("f5_soft_logistic_penalised", lambda rows, names: router.fit_soft_logistic(rows, names, 1.0, penalize_intercept=True, max_iter=50))
-_fitted("f7_hard_logistic", lambda rows, names: router.fit_hard_logistic(rows, names, 0.1, max_iter=50))
-_fitted("f7_hard_logistic_balanced", lambda rows, names: router.fit_hard_logistic(rows, names, 0.1, balanced=True, max_iter=50))
+_fitted("f4_f12_soft_logistic", lambda rows, names: router.fit_soft_logistic(rows, names, 1.0))
+_fitted("f5_soft_logistic_penalised", lambda rows, names: router.fit_soft_logistic(rows, names, 1.0, penalize_intercept=True))
+_fitted("f7_hard_logistic", lambda rows, names: router.fit_hard_logistic(rows, names, 0.1))
+_fitted("f7_hard_logistic_balanced", lambda rows, names: router.fit_hard_logistic(rows, names, 0.1, balanced=True))
 _fitted("f8_forest", lambda rows, names: router.fit_forest(rows, names, 4, 20, "sqrt", trees=20))
 
 
@@ -351,7 +351,7 @@ def f4_sampled(spark, sf):
     scaler = router.fit_standardizer(training, names)
     sample = prepare.systematic_sample(training.select(*KEYS, "time_index", "loss_advantage", *names), SAMPLE_CAP)
     sample = router.soft_targets(router.standardize(sample, scaler), 0.5)
-    model = router.fit_soft_logistic(sample.select("soft_target", *names), names, 1.0, max_iter=100)
+    model = router.fit_soft_logistic(sample.select("soft_target", *names), names, 1.0)
     scored = router.score(router.standardize(rows.where(F.col("split") == "calibration"), scaler), model)
     return rounded(router.evaluate_score(scored), "threshold constrained_scaled_loss pooled_scaled_loss simple_coverage coverage_violation", 4)
 
@@ -402,7 +402,7 @@ def f11_router(spark, sf):
     sample = prepare.systematic_sample(training, 100_000).withColumn("row_id", F.col("sample_order")).withColumn("x", F.array(*context))
     weights = router.local_weights(router.knn(sample, 5, "x"), sample, 5, 1.0)
     weighted = sample.join(weights.select(F.col("id").alias("row_id"), "weight"), "row_id").drop("sample_order", "available", "position")
-    model = router.fit_soft_logistic(weighted, names, 1.0, weight="weight", max_iter=50)
+    model = router.fit_soft_logistic(weighted, names, 1.0, weight="weight")
     return rounded(router.score(rows.where(F.col("split") == "calibration"), model).select(*ID, "score"), "score", 4)
 
 
@@ -497,6 +497,56 @@ def f17(spark, sf):
     return rounded(longs(router.select_best(summary, ["mean_constrained_scaled_loss", "method", "lag"]), "lag choice"), F17)
 
 
+GRID_METRICS = "constrained_scaled_loss pooled_scaled_loss simple_coverage coverage_violation soft_log_loss soft_brier hard_brier"
+
+
+def router_grid(spark, sf):
+    """The whole grid of soft routers on the hourly panel: 5 temperatures, 4 lags, 4 penalties, 3 folds; stored once."""
+    def build():
+        rows = flow.scored_table(spark, sf).where(F.col("split") == "router_train")
+        unit = HOURLY.router_unit, HOURLY.router_cap, HOURLY.router_reserve
+        return tuning.soft_router_grid(rows, prepare.router_fold_schedule(rows, *unit), flow.feature_names())
+
+    return flow.stage(spark, sf, "router_grid", "events", build)
+
+
+@query("f4_f12_soft_router_grid")
+def f4_grid(spark, sf):
+    """All 240 fits with their worth on the validation blocks."""
+    out = router_grid(spark, sf).select(*tuning.PARAMETERS, "fold", "nonzero", *GRID_METRICS.split())
+    return rounded(longs(out, "residual_lag fold nonzero"), GRID_METRICS, 4)
+
+
+POINTS = " CROSS JOIN ".join(
+    f"(VALUES {', '.join(f'({v})' for v in values)}) {name}({column})"
+    for name, column, values in [("t", "temperature", TEMPERATURES), ("l", "residual_lag", RESIDUAL_LAGS), ("c", "c_value", C_GRID)]
+)
+
+
+@query("f12_router_grid_certificates", o.with_(o.HOURLY_ROUTER + """,
+rfolds AS MATERIALIZED (SELECT *, a + n - 3 * size + (fold - 1) * size AS lo FROM (
+  SELECT series_id, count(*) AS n, min(time_index) AS a, least(168, (count(*) - 24) // 36 * 12) AS size
+  FROM router WHERE split = 'router_train' GROUP BY 1), (VALUES (1), (2), (3)) v(fold)),
+sizes AS MATERIALIZED (SELECT fold, count(*) FILTER (time_index < lo) AS before, count(*) FILTER (time_index BETWEEN lo AND lo + size - 1) AS rows
+  FROM router r JOIN rfolds f ON f.series_id = r.series_id AND split = 'router_train' GROUP BY 1)""", f"""
+SELECT CAST(fold AS BIGINT) AS fold, CAST(temperature AS DOUBLE) AS temperature, CAST(residual_lag AS BIGINT) AS residual_lag,
+       CAST(c_value AS DOUBLE) AS c_value, least(before, {SAMPLE_CAP}) AS fitted_rows, rows, true AS converged FROM sizes CROSS JOIN {POINTS}"""))
+def f12_certificates(spark, sf):
+    """Which fits of the grid meet the optimality conditions, and the rows behind them."""
+    out = router_grid(spark, sf).select("fold", *tuning.PARAMETERS, "fitted_rows", "rows", "converged")
+    return longs(out, "fold residual_lag")
+
+
+@query("f17_soft_router_choice")
+def f17_choice(spark, sf):
+    """The grid's means over folds, numbered by loss, then fewer lags, stronger penalty, lower temperature."""
+    metrics = ["constrained_scaled_loss", "pooled_scaled_loss", "simple_coverage", "soft_log_loss"]
+    summary = router.tuning_table(router_grid(spark, sf), tuning.PARAMETERS, metrics)
+    order = ["mean_constrained_scaled_loss", "mean_soft_log_loss", "residual_lag", "c_value", "temperature"]
+    out = router.select_best(summary, order)
+    return rounded(longs(out, "residual_lag choice"), [c for c in out.columns if c.startswith(("mean_", "std_", "maximum_"))], 4)
+
+
 @query("f18_select_feasible", o.with_(o.HOURLY_ROUTER + FOLD_SCORES, """
 SELECT method, lag, maximum_coverage_violation <= 0.02 AS feasible,
        row_number() OVER (PARTITION BY method ORDER BY maximum_coverage_violation <= 0.02 DESC, round(mean_constrained_scaled_loss, 12), lag NULLS LAST) = 1
