@@ -12,10 +12,11 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dualcast.llm.common import arrow_pass, cells, materialize, scratch
@@ -38,9 +39,10 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    """A custom (version 8) UUID of 58 bits of the digest and the 64 bits of the page's id."""
-    top = int.from_bytes(base64.b32decode(digest)[:8], "big") >> 6
+def record_id(page_id: int | None, place: str) -> str:
+    """A custom (version 8) UUID of the 64 bits of the page's id and 58 hashed bits of ``place``: the record's file,
+    position and digest, so that repeated rows and rows without an id have identifiers of their own."""
+    top = int.from_bytes(hashlib.sha1(place.encode()).digest()[:8], "big") >> 6
     bits = (top << 64) | ((page_id or 0) & (2**64 - 1))
     value = ((bits >> 74) << 80) | (8 << 76) | (((bits >> 62) & 0xFFF) << 64) | (2 << 62) | (bits & (2**62 - 1))
     digits = f"{value:032x}"
@@ -53,13 +55,24 @@ def page_of(identifier: str) -> int:
     return low - 2**64 if low >= 2**63 else low
 
 
+def warc_time(*dates: str) -> str:
+    """The first readable date (14 digits, or 12 without seconds) as a WARC time; 1970 where none is."""
+    for date in dates:
+        if re.fullmatch(r"[0-9]{12}(?:[0-9]{2})?", date):
+            try:
+                return datetime.strptime(date.ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ").rjust(20, "0")
+            except ValueError:
+                continue
+    return "1970-01-01T00:00:00Z"
+
+
 def _line_safe(url: str | None) -> str:
     """A URL without white space or control characters; a missing one is ``about:blank``."""
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or "about:blank"
 
 
 def _packed(task: str, kind: str, records: Iterator[bytes], head) -> Iterator[pa.RecordBatch]:
-    """Files of records, each begun with ``head(number)``, which returns its name, first bytes and record maker."""
+    """Files of records, each begun with the bytes of ``head(name, number, first record maker)``."""
     number, size, parts, name = 0, 0, [], ""
     for make in records:
         if parts and size >= ARCHIVE_BYTES:
@@ -68,7 +81,7 @@ def _packed(task: str, kind: str, records: Iterator[bytes], head) -> Iterator[pa
         if not parts:
             number += 1
             name = f"{task}-{number:06d}.{kind}"
-            parts, size = [head(name, number)], 0
+            parts = [head(name, number, make)]
             size = len(parts[0])
         record = make(name, number, size)
         parts.append(record)
@@ -81,32 +94,38 @@ def _version(number: int) -> int:
     return 1 + number % 2
 
 
-def write_arc(pages: DataFrame, page_id: str, url: str, html: str, date: str) -> DataFrame:
-    """Pages as ARC files, alternately of version 1 and 2. ``date`` is the 14-digit time of capture.
+def write_arc(pages: DataFrame, page_id: str, url: str, html: str, date: str | Column) -> DataFrame:
+    """Pages as ARC files, alternately of version 1 and 2. ``date`` is the 14-digit time of capture: one, or a column's.
+
+    A file has its first record's date. A null date, or one that is no single word, is written as ``-``.
 
     Null html is an empty payload; a null id has no id header; every row becomes one record.
     """
 
-    def head(name: str, number: int) -> bytes:
+    def head(name: str, number: int, make) -> bytes:
         version = _version(number)
+        first = make(name, number, 0).split(b"\n", 2)[1].decode()
+        when = first.rsplit(" ", len(ARC_FIELDS[version]) - 1)[ARC_FIELDS[version].index("Archive-date")]
         block = f"{version} 0 dualcast\n{' '.join(ARC_FIELDS[version])}\n\n".encode()
-        return _arc_line(version, f"filedesc://{name}", date, "text/plain", block, name, 0) + block
+        return _arc_line(version, f"filedesc://{name}", when, "text/plain", block, name, 0) + block
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records():
             for batch in batches:
-                for page, address, text in zip(*(cells(batch, c) for c in ("page", "url", "html"))):
+                for page, address, text, when in zip(*(cells(batch, c) for c in ("page", "url", "html", "date"))):
                     body = (text or "").encode("utf-8")
                     own = b"" if page is None else PAGE_HEADER + f": {page}\r\n".encode()
                     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + own
                     content = http + f"Content-Length: {len(body)}\r\n\r\n".encode() + body
-                    yield lambda name, number, size, a=address, c=content: (
-                        b"\n" + _arc_line(_version(number), _line_safe(a), date, "text/html", c, name, size + 1) + c
+                    time = when if when and not re.search(r"\s", when) else "-"
+                    yield lambda name, number, size, a=address, c=content, t=time: (
+                        b"\n" + _arc_line(_version(number), _line_safe(a), t, "text/html", c, name, size + 1) + c
                     )
 
         yield from _packed(f"part-{TaskContext.get().partitionId():06d}", "arc", records(), head)
 
-    rows = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).alias("url"), F.col(html).alias("html"))
+    when = F.lit(date) if isinstance(date, str) else date.cast("string")
+    rows = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).alias("url"), F.col(html).alias("html"), when.alias("date"))
     return arrow_pass(rows, passes, "name string, archive binary")
 
 
@@ -120,7 +139,10 @@ def _arc_line(version: int, url: str, date: str, kind: str, content: bytes, name
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The fields and the content of every record after the version block, which names the fields."""
+    """The fields and the content of every record after the version block, which names the fields.
+
+    Further lines of the block are comments. One or more line ends stand before a record; some may end the file.
+    """
     end = data.index(b"\n")
     if not data.startswith(b"filedesc://"):
         raise ValueError("an ARC file begins with its filedesc line")
@@ -131,10 +153,14 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError(f"unknown ARC version {version} with fields {names}")
     at = end + 1 + length
     while at < len(data):
-        if data[at : at + 1] != b"\n":
+        if data[at : at + 1] not in (b"\n", b"\r"):
             raise ValueError(f"a declared length is wrong before byte {at}")
-        end = data.index(b"\n", at + 1)
-        line = data[at + 1 : end].decode("utf-8")
+        while data[at : at + 1] in (b"\n", b"\r"):
+            at += 1
+        if at == len(data):
+            return
+        end = data.index(b"\n", at)
+        line = data[at:end].rstrip(b"\r").decode("utf-8", "replace")
         values = line.rsplit(" ", len(names) - 1)
         if len(values) != len(names):
             raise ValueError(f"not a version {version} record line: {line[:80]}")
@@ -153,33 +179,42 @@ def _http(content: bytes) -> tuple[bytes, bytes, dict[bytes, bytes]]:
 
 
 def read_arc(archives: DataFrame) -> DataFrame:
-    """One row per ARC record: page, url, date, content (HTTP head and payload) and the payload's digest."""
+    """One row per ARC record: page, url, date, content (HTTP head and payload), the payload's digest, and its place.
+
+    A date that cannot be read is that of the file, or else 1970.
+    """
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in cells(batch, "archive"):
+            for name, data in zip(cells(batch, "name"), cells(batch, "archive")):
                 rows = []
-                for fields, content in parse_arc(data):
-                    _, body, headers = _http(content)
+                begun = data[: data.index(b"\n")].decode("utf-8", "replace").split(" ")[2]
+                for number, (fields, content) in enumerate(parse_arc(data)):
+                    digest = base32_sha1(_http(content)[1])
+                    headers = _http(content)[2]
                     page = headers.get(PAGE_HEADER.lower())
                     rows.append((
-                        None if page is None else int(page), fields["URL"], fields["Archive-date"], content, base32_sha1(body)
+                        None if page is None else int(page), fields["URL"], warc_time(fields["Archive-date"], begun), content, digest,
+                        f"{name} {number} {digest}",
                     ))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)]
-                yield pa.RecordBatch.from_arrays(columns, ["page", "url", "date", "content", "digest"])
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.string()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["page", "url", "date", "content", "digest", "place"])
 
-    return arrow_pass(archives.select("archive"), passes, "page long, url string, date string, content binary, digest string")
+    schema = "page long, url string, date string, content binary, digest string, place string"
+    return arrow_pass(archives.select("name", "archive"), passes, schema)
 
 
 def with_originals(records: DataFrame) -> DataFrame:
-    """Adds ``original``: the largest page of the records with equal payloads, where there are several.
+    """Adds ``original`` and ``original_place``: the largest page of the records with equal payloads, where there are
+    several, and the last place of a record of it.
 
     Only digests that occur again are stored and joined; both sides of the join are plain exchanges, so
     Spark splits a digest that very many records share.
     """
-    groups = records.groupBy("digest").agg(F.max("page").alias("original"), F.count(F.lit(1)).alias("copies"))
-    groups = materialize(groups.where("copies > 1").select("digest", "original"))
+    groups = records.groupBy("digest").agg(F.max(F.struct("page", "place")).alias("last"), F.count(F.lit(1)).alias("copies"))
+    last = F.col("last.page").alias("original"), F.col("last.place").alias("original_place")
+    groups = materialize(groups.where("copies > 1").select("digest", *last))
     return records.join(groups, "digest", "left")
 
 
@@ -190,36 +225,40 @@ def write_warc(records: DataFrame) -> DataFrame:
     group in which no page has an id.
     """
 
-    def record(page: int | None, url: str, date: str, content: bytes, digest: str, original: int | None) -> bytes:
+    def record(page: int | None, url: str, time: str, content: bytes, digest: str, place: str, original: int | None, other: str | None) -> bytes:
         again = original is not None and original != page
-        time = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
         block = content[: content.index(b"\r\n\r\n") + 4] if again else content
         lines = [
-            "WARC/1.0", f"WARC-Type: {'revisit' if again else 'response'}", f"WARC-Record-ID: {record_id(page, digest)}",
+            "WARC/1.0", f"WARC-Type: {'revisit' if again else 'response'}", f"WARC-Record-ID: {record_id(page, place)}",
             f"WARC-Date: {time}", f"WARC-Target-URI: {url}", "Content-Type: application/http; msgtype=response",
             f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
         ]
         if again:
-            lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(original, digest)}"]
+            lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(original, other)}"]
         return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
+    columns = ["page", "url", "date", "content", "digest", "place", "original", "original_place"]
+
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records_of():
             for batch in batches:
-                for row in zip(*(cells(batch, c) for c in ("page", "url", "date", "content", "digest", "original"))):
+                for row in zip(*(cells(batch, c) for c in columns)):
                     yield lambda name, number, size, row=row: record(*row)
 
         info = b"software: dualcast\r\nformat: WARC File Format 1.0\r\n"
 
-        def head(name: str, number: int) -> bytes:
+        def head(name: str, number: int, make) -> bytes:
+            first = make(name, number, 0)
+            time = re.search(rb"\r\nWARC-Date: ([^\r]*)", first)[1].decode()
+            own = record_id(None, f"{name} {base32_sha1(first)}")
             return (
-                f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\n"
+                f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {own}\r\nWARC-Date: {time}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\n"
                 f"Content-Length: {len(info)}\r\n\r\n"
             ).encode() + info + b"\r\n\r\n"
 
         yield from _packed(f"part-{TaskContext.get().partitionId():06d}", "warc", records_of(), head)
 
-    rows = records.select("page", "url", "date", "content", "digest", "original")
+    rows = records.select(*columns)
     return arrow_pass(rows, passes, "name string, archive binary")
 
 
@@ -271,12 +310,13 @@ def read_warc(archives: DataFrame) -> DataFrame:
     return arrow_pass(archives.select("archive"), passes, schema)
 
 
-def convert(pages: DataFrame, page_id: str, url: str, html: str, date: str = "20000101000000") -> DataFrame:
-    """Pages to ARC files, those to WARC files stored in the shared folder; the stored files as a table.
+def convert(pages: DataFrame, page_id: str, url: str, html: str, date: str | Column = "20000101000000") -> DataFrame:
+    """Pages to ARC files, those to WARC files, both stored in the shared folder; the WARC files as a table.
 
     An empty table gives no files. Columns other than the three named are not read.
     """
-    warcs = write_warc(with_originals(read_arc(write_arc(pages, page_id, url, html, date))))
+    arcs = materialize(write_arc(pages, page_id, url, html, date))
+    warcs = write_warc(with_originals(read_arc(arcs)))
     path = scratch(pages.sparkSession)
     warcs.write.option("compression", "zstd").parquet(path)
     return pages.sparkSession.read.schema(warcs.schema).parquet(path)

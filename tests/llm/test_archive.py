@@ -70,3 +70,39 @@ def test_version_lines_and_lengths():
             list(archive.parse_arc(data[:-1]))
         with pytest.raises(ValueError):
             list(archive.parse_arc(data + b"rest"))
+
+
+def test_every_record_has_an_identifier_and_a_time_of_its_own(spark):
+    rows = [(7, "u", "same", "20010203040506"), (7, "u", "same", "200102030405"), (3, "u", "same", "soon"), (None, "u", "same", None),
+            (0, "u", "same", "20011303040506"), (None, "v", "none", "20040229235959"), (None, "v", "none", "20040229235959")]
+    df = spark.createDataFrame(rows, SCHEMA + ", taken string").coalesce(1)
+    files = archive.convert(df, "page_id", "url", "html", F.col("taken")).collect()
+    records = [r for f in files for r, _ in archive.parse_warc(bytes(f["archive"]))]
+    ids = [r["WARC-Record-ID"] for r in records]
+    assert len(set(ids)) == len(ids) == 7 + len(files) and all(r["WARC-Date"] for r in records)
+    responses = {r["WARC-Record-ID"]: r for r in records if r["WARC-Type"] == "response"}
+    revisits = [r for r in records if r["WARC-Type"] == "revisit"]
+    assert len(revisits) == 3 and all(r["WARC-Refers-To"] in responses for r in revisits)
+    assert {archive.page_of(r["WARC-Refers-To"]) for r in revisits} == {7}
+    times = sorted(r["WARC-Date"] for r in records if r["WARC-Type"] != "warcinfo")
+    first = "2001-02-03T04:05:06Z"  # the file's date, for the three that cannot be read
+    assert times == ["2001-02-03T04:05:00Z", first, first, first, first, "2004-02-29T23:59:59Z", "2004-02-29T23:59:59Z"]
+
+
+def test_times():
+    assert archive.warc_time("19991231235958") == "1999-12-31T23:59:58Z" and archive.warc_time("199912312359") == "1999-12-31T23:59:00Z"
+    assert archive.warc_time("19990230000000", "20000101000000") == "2000-01-01T00:00:00Z"
+    assert archive.warc_time("-", "") == archive.warc_time("1999") == "1970-01-01T00:00:00Z"
+
+
+def test_a_foreign_file(spark):
+    block = f"1 0 someone\n{' '.join(archive.ARC_FIELDS[1])}\n<arcmetadata>\nmade by hand\n</arcmetadata>\n"
+    data = f"filedesc://x.arc 0.0.0.0 20020304050607 text/plain {len(block)}\n{block}"
+    bodies = ["HTTP/1.0 200 OK\r\nContent-Length: 3\r\n\r\none", "HTTP/1.0 404 Not Found\r\nContent-Length: 4\r\n\r\ntwo\n"]
+    data += f"\nhttp://a/ 1.2.3.4 20020304050608 text/html {len(bodies[0])}\n{bodies[0]}\n\n\n"
+    data += f"http://b/ 1.2.3.4 0 text/html {len(bodies[1])}\n{bodies[1]}"
+    for end in ("", "\n", "\n\n"):
+        files = spark.createDataFrame([("x.arc", bytearray((data + end).encode()))], "name string, archive binary")
+        found = {r["url"]: r for r in archive.read_arc(files).collect()}
+        assert [found[u]["date"] for u in ("http://a/", "http://b/")] == ["2002-03-04T05:06:08Z", "2002-03-04T05:06:07Z"]
+        assert found["http://b/"]["digest"] == archive.base32_sha1(b"two\n") and found["http://a/"]["page"] is None
