@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexer transducer maps text to marks: an automaton over the lower-cased text finds the insults, threats,
-targets, negations and verbs of reported speech that begin at a word. A clause transducer then reads the
-marks of one clause and adds a weight to the insult or threat it holds for each other mark that stands
-with it in the grammar's places. The score of a document is a logistic function of what its clauses were
-matched as, so words alone, outside a matched clause, count for nothing.
+A lexer turns a clause into marks: insults, verbs of threat, targets, copulas, determiners, negations and verbs of
+reported speech that begin at a word. Each part of the grammar is a transducer of its own: one chooses the insult or
+threat that a clause is read for, the others note whether it is addressed, predicated, an epithet, negated or
+reported. Composed they are one machine, and a clause takes its best path through it. A clause in which nothing but
+the insult is noted is a kind of its own, with the weight that labels give it. The score of a document is a logistic function of what its clauses were matched as.
 
 The weights of the function and the insults come from labelled documents. Insults are words, or
 beginnings of words, that toxic documents hold far more often than others.
@@ -12,13 +12,13 @@ beginnings of words, that toxic documents hold far more often than others.
 
 from __future__ import annotations
 
-import bisect
 import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +39,26 @@ HELD_OUT, FOLDS, THRESHOLD = 2, 4, 0.3
 
 #: Words of the grammar's closed classes.
 CLOSED = {
-    "threat": "kill hurt destroy beat hunt burn töten umbringen verletzen tuer frapper brûler matar golpear quemar",
+    "threat": "umbringen umbringt umbrachte tuer tue tues tuent tué tuera matar mato matas mata matan mataré matará mató",
     "target": "you your yours he she they him her them du dich dein ihr euch sie tu te toi vous ton tú ti usted ustedes",
+    "copula": "am is are was were be been being bin bist ist sind seid war suis es est sommes êtes sont était soy eres era somos son",
+    "determiner": "a an the this that these those such der die das den dem ein eine einen einer dieser diese dieses "
+    "le la les un une des ce cette ces el los las una unos unas ese esa este esta",
     "negation": "not no never isn't aren't wasn't don't nicht kein keine nie pas jamais aucun no nunca jamás",
     "report": "said says wrote called quoted claimed sagte schrieb nannte dit écrit appelé dijo escribió llamó",
 }
+#: Stems of regular verbs of threat and their endings.
+THREAT_VERBS = {
+    "kill hunt destroy burn": "- s ed ing", "hurt beat": "- s ing", "beat": "en", "töt verletz": "e est t et en te ete ten eten",
+    "frapp brûl": "e es ons ez ent er é era", "golpe quem": "o as a an ar ó ado aré ará",
+}
+CORES = ("insult", "threat")
 CLASSES = ("insult", *CLOSED)
 _CLAUSE = re.compile(r"[.,;:!?\n]+")
 #: What a clause can be matched as; a document counts each kind.
-KINDS = ("insult", "insult_target", "insult_negated", "insult_reported", "threat_target", "threat_negated", "threat_reported")
+KINDS = (
+    "insult", "insult_target", "insult_predicate", "insult_epithet", "insult_negated", "insult_reported", "threat_target", "threat_negated", "threat_reported",
+)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -58,80 +69,165 @@ def held_out_column(doc_id: str):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
+# ---- transducers -------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Weighted arcs by (state, input): (output, weight, next state). Final states have the notes that they add.
+
+    An arc's weight counts times the weight of the mark that it reads.
+    """
+
+    start: object
+    arcs: dict
+    finals: dict
+
+
+def chooser() -> Transducer:
+    """Marks any one insult or threat as the core of the clause and passes all other marks on."""
+    arcs = {(s, c): [(c, 0.0, s)] for s in (0, 1) for c in CLASSES}
+    for c in CORES:
+        arcs[0, c] = [*arcs[0, c], (f"core_{c}", 1.0, 1)]
+    return Transducer(0, arcs, {1: frozenset()})
+
+
+def noticer(note: str, first: str | None, second: Iterable[str]) -> Transducer:
+    """Notes that ``first`` stands before one of ``second`` (or, without ``first``, that one of ``second`` occurs)."""
+    symbols = [*CLASSES, *(f"core_{c}" for c in CORES)]
+    arcs = {(s, c): [(c, 0.0, s)] for s in (0, 1, 2) for c in symbols}
+    if first:
+        arcs[0, first] = [(first, 0.0, 1)]
+    for c in second:
+        arcs[1 if first else 0, c] = [(c, 0.0, 2)]
+    return Transducer(0, arcs, {0: frozenset(), 1: frozenset(), 2: frozenset([note])})
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The machine that feeds what ``a`` writes to ``b``; its states are the pairs that can be reached."""
+    start = (a.start, b.start)
+    arcs, seen, todo = {}, {start}, [start]
+    by_state: dict = {}
+    for (p, x), out in a.arcs.items():
+        by_state.setdefault(p, []).append((x, out))
+    while todo:
+        p, q = here = todo.pop()
+        for x, out in by_state.get(p, ()):
+            found = [(z, v + w, (n, m)) for y, v, n in out for z, w, m in b.arcs.get((q, y), ())]
+            arcs[here, x] = found
+            for _, _, state in found:
+                if state not in seen:
+                    seen.add(state)
+                    todo.append(state)
+    finals = {(p, q): a.finals[p] | b.finals[q] for p, q in seen if p in a.finals and q in b.finals}
+    return Transducer(start, arcs, finals)
+
+
+def kind_of(notes: frozenset) -> str | None:
+    """The kind of a clause with these notes; a threat needs a target."""
+    core = "insult" if "insult" in notes else "threat"
+    if core == "threat" and "target" not in notes:
+        return None
+    order = ("reported", "negated", "target", "predicate", "epithet") if core == "insult" else ("reported", "negated", "target")
+    return next((f"{core}_{n}" for n in order if n in notes), core)
+
+
+@lru_cache(maxsize=1)
+def machine() -> tuple[int, dict, dict]:
+    """The composed grammar with numbered states: start, arcs and the kinds of its final states."""
+    cores = [f"core_{c}" for c in CORES]
+    parts = [
+        noticer("insult", None, ["core_insult"]), noticer("target", None, ["target"]), noticer("predicate", "copula", ["core_insult"]),
+        noticer("epithet", "determiner", ["core_insult"]), noticer("negated", "negation", cores), noticer("reported", "report", cores),
+    ]
+    whole = reduce(compose, parts, chooser())
+    number: dict = {}
+    for (state, _), out in whole.arcs.items():
+        for s in (state, *(n for _, _, n in out)):
+            number.setdefault(s, len(number))
+    arcs = {(number[s], x): [(w, number[n]) for _, w, n in out] for (s, x), out in whole.arcs.items()}
+    kinds = {number[s]: kind for s, notes in whole.finals.items() if (kind := kind_of(notes))}
+    return number[whole.start], arcs, kinds
+
+
+def clause_kind(marks: Iterable[tuple[str, float]]) -> tuple[str, float] | None:
+    """Kind and weight of the best path of a clause's marks: insults before threats, then the heaviest, then the first of ``KINDS``."""
+    start, arcs, kinds = machine()
+    best = {start: 0.0}
+    for name, weight in marks:
+        after: dict[int, float] = {}
+        for state, total in best.items():
+            for factor, end in arcs[state, name]:
+                value = total + factor * weight
+                if value > after.get(end, -1.0):
+                    after[end] = value
+        best = after
+    ends = [(kinds[s].startswith("insult"), w, -KINDS.index(kinds[s])) for s, w in best.items() if s in kinds]
+    return (KINDS[-top[2]], top[1]) if ends and (top := max(ends)) else None
+
+
+# ---- documents ---------------------------------------------------------------------------
+
+
+def threat_words() -> list[str]:
+    stems = [(stem, end) for stems, ends in THREAT_VERBS.items() for stem in stems.split() for end in ends.split()]
+    return [*CLOSED["threat"].split(), *(stem + end.strip("-") for stem, end in stems)]
+
+
 @dataclass
 class Grammar:
     """Insult terms with weights (``stem*`` matches beginnings) and the weights of the document function."""
 
     insults: dict[str, float] = field(default_factory=dict)
     weights: list[float] = field(default_factory=list)
-    automaton: object = None
+    automata: tuple | None = None
 
-    def lexer(self):
-        """The lexer transducer: terms to (class, weight, whole word)."""
-        if self.automaton is None:
+    def lexers(self) -> tuple:
+        """Two lexers, terms to (class, weight, whole word): one of insults and threats, one of all classes."""
+        if self.automata is None:
             import ahocorasick
 
-            self.automaton = ahocorasick.Automaton()
-            arcs: dict[str, list] = {}
-            for name, words in CLOSED.items():
-                for word in words.split():
-                    arcs.setdefault(word, []).append((name, 1.0, True))
-            for term, weight in self.insults.items():
-                stem = term.endswith("*")
-                arcs.setdefault(term.rstrip("*"), []).append(("insult", weight, not stem))
-            for word, outputs in arcs.items():
-                self.automaton.add_word(word, (len(word), outputs))
-            self.automaton.make_automaton()
-        return self.automaton
-
-
-def clause_kind(marks: list[tuple[str, float]]) -> tuple[str, float] | None:
-    """The clause transducer: states are the classes seen so far, in order; the output is kind and weight.
-
-    A negation counts before the insult or threat, a verb of speech before it, a target anywhere. A threat
-    needs a target. Of several readings the heaviest insult wins, then the threat.
-    """
-    before: set[str] = set()
-    core, reading = None, set()
-    for name, weight in marks:
-        if name == "insult" and (core is None or core[0] != "insult" or weight > core[1]):
-            core, reading = ("insult", weight), set(before)
-        elif name == "threat" and core is None:
-            core, reading = ("threat", weight), set(before)
-        before.add(name)
-    if core is None:
-        return None
-    target = "target" in before
-    if core[0] == "threat" and not target:
-        return None
-    kind = "_reported" if "report" in reading else "_negated" if "negation" in reading else "_target" if target else ""
-    return core[0] + kind, core[1]
+            cores = [(t.rstrip("*"), ("insult", w, not t.endswith("*"))) for t, w in self.insults.items()]
+            cores += [(word, ("threat", 1.0, True)) for word in dict.fromkeys(threat_words())]
+            others = [(w, (c, 0.0, True)) for c, words in CLOSED.items() if c != "threat" for w in dict.fromkeys(words.split())]
+            made = []
+            for entries in (cores, cores + others):
+                automaton, arcs = ahocorasick.Automaton(), {}
+                for word, output in entries:
+                    arcs.setdefault(word, []).append(output)
+                for word, outputs in arcs.items():
+                    automaton.add_word(word, (len(word), outputs))
+                automaton.make_automaton()
+                made.append(automaton)
+            self.automata = tuple(made)
+        return self.automata
+
+
+def _marks(automaton, low: str, begin: int, end: int) -> list[tuple[int, str, float]]:
+    """(place, class, weight) of the terms between two places that begin at a word."""
+    found = []
+    for last, (length, outputs) in automaton.iter(low, begin, end):
+        at = last - length + 1
+        if at and (low[at - 1].isalnum() or low[at - 1] == "'"):
+            continue
+        whole = last + 1 == len(low) or not low[last + 1].isalnum()
+        found += [(at, name, weight) for name, weight, word in outputs if whole or not word]
+    return found
 
 
 def clause_counts(text: str, grammar: Grammar) -> dict[str, float]:
     """Weights of the matched clauses of a text, summed by kind."""
     low = text.lower()
-    marks = []
-    for end, (length, outputs) in grammar.lexer().iter(low):
-        begin = end - length + 1
-        if begin and (low[begin - 1].isalnum() or low[begin - 1] == "'"):
-            continue
-        whole = end + 1 == len(low) or not low[end + 1].isalnum()
-        marks += [(begin, name, weight) for name, weight, word in outputs if whole or not word]
+    cores, every = grammar.lexers()
     found: dict[str, float] = {}
-    if not any(name in ("insult", "threat") for _, name, _ in marks):
-        return found
-    cores = [begin for begin, name, _ in marks if name in ("insult", "threat")]
-    marks.sort()
-    places, at, done = [m[0] for m in marks], 0, -1
-    
-    for core in sorted(cores):
+    done = -1
+    for core in sorted({at for at, _, _ in _marks(cores, low, 0, len(low))}):
         if core < done:
             continue  # in the clause that was read last
-        at = max((m.end() for m in _CLAUSE.finditer(low, max(0, done), core)), default=max(0, done))
+        begin = max((m.end() for m in _CLAUSE.finditer(low, max(0, done), core)), default=max(0, done))
         ends = _CLAUSE.search(low, core)
         done = ends.start() if ends else len(low)
-        kind = clause_kind([m[1:] for m in marks[bisect.bisect_left(places, at) : bisect.bisect_left(places, done)]])
+        kind = clause_kind((name, weight) for _, name, weight in sorted(_marks(every, low, begin, done)))
         if kind:
             found[kind[0]] = found.get(kind[0], 0.0) + kind[1]
     return found
@@ -197,17 +293,20 @@ def fit_insults(sample: DataFrame) -> dict[str, float]:
             found = [sorted(others.keys() & _terms(t)) for t in cells(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["terms"])
 
-    # at most the sample's toxic rows
-    toxic = arrow_pass(sample.where("toxic = 1"), holds, "terms array<string>").where(F.size("terms") > 0)
-    return choose_insults([r["terms"] for r in toxic.distinct().collect()], others, n_other)
+    # at most the sample's toxic rows; copies of a text count once, other texts with the same terms do count
+    toxic = arrow_pass(sample.where("toxic = 1").select("text").distinct(), holds, "terms array<string>").where(F.size("terms") > 0)
+    groups = toxic.groupBy("terms").count().collect()
+    return choose_insults([r["terms"] for r in groups], [r["count"] for r in groups], others, n_other)
 
 
-def choose_insults(documents: list[list[str]], others: dict[str, int], n_other: int) -> dict[str, float]:
+def choose_insults(documents: list[list[str]], counts: list[int], others: dict[str, int], n_other: int) -> dict[str, float]:
     """The terms that explain toxic documents best, one after the other, with their evidence as weight.
 
+    ``documents`` are distinct lists of terms, ``counts`` the documents that hold them.
+
     Words that merely stand in a few copied toxic documents share them with words that explain many.
     """
-    weight = np.ones(len(documents))
+    weight, total = np.array(counts, dtype=float), sum(counts)
     rows: dict[str, list[int]] = {}
     for i, terms in enumerate(documents):
         for term in terms:
@@ -219,7 +318,7 @@ def choose_insults(documents: list[list[str]], others: dict[str, int], n_other:
         a, b = float(weight[rows[term]].sum()), others[term]
         if a < LEAST_WEIGHT:
             return -math.inf
-        odds = math.log((a + 0.5) / (len(documents) - a + 0.5)) - math.log((b + 0.5) / (n_other - b + 0.5))
+        odds = math.log((a + 0.5) / (total - a + 0.5)) - math.log((b + 0.5) / (n_other - b + 0.5))
         return odds - 1.65 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
     left = set(rows)
