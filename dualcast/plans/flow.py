@@ -69,27 +69,36 @@ def base_table(split: DataFrame, family: Family) -> DataFrame:
     return scaler.join(scales, list(KEYS)).join(lengths, list(KEYS))
 
 
-def segment_table(split: DataFrame, table: DataFrame, family: Family, lags: int = LAGS) -> DataFrame:
+def naive_forecasts(family: Family):
+    """The last value as the simple forecast, the mean of the last season as the complex one."""
+
+    def add(rows, window):
+        mean, _ = features.past_moments(window, "value", family.season)
+        return rows.withColumns({"simple_prediction": F.lag("value", 1).over(window), "complex_prediction": mean})
+
+    return add
+
+
+def segment_table(
+    split: DataFrame, table: DataFrame, family: Family, lags: int = LAGS, forecasters=None, look_back: int = 0
+) -> DataFrame:
     """Forecasts, residuals and all router features for every row after the base split.
 
-    The simple forecast is the last value, the complex one the mean of the last season. All look-backs
-    share one set of time blocks, so the panel is shuffled once.
+    ``forecasters(rows, window)`` adds both predictions from at most ``look_back`` earlier rows; without it they
+    are ``naive_forecasts``. All look-backs share one set of time blocks, so the panel is shuffled once.
     """
+    forecasters = forecasters or naive_forecasts(family)
 
     def build(blocked, window):
-        rows = attach(blocked, table, KEYS)
-        mean, _ = features.past_moments(window, "value", family.season)
-        rows = rows.withColumns({
-            "y_true": F.col("value"), "simple_prediction": F.lag("value", 1).over(window),
-            "complex_prediction": mean, "naive_prediction": F.lag("value", family.season).over(window),
-        })
+        rows = forecasters(attach(blocked, table, KEYS), window)
+        rows = rows.withColumns({"y_true": F.col("value"), "naive_prediction": F.lag("value", family.season).over(window)})
         rows = features.context_features(rows, family.season, family.long_context)
         rows = forecast.forecast_table(features.disagreement_features(rows))
         held = F.col("split") != "base_train"
         rows = rows.withColumns({s: F.when(held, F.col(s)) for s in ("simple_residual", "complex_residual")})
         return features.residual_lags(rows, lags)
 
-    rows = over_history(split, family.long_context + 1 + lags, build).where(F.col("split") != "base_train")
+    rows = over_history(split, max(family.long_context, look_back) + 1 + lags, build).where(F.col("split") != "base_train")
     return features.routing_labels(features.calendar_features(rows, family.calendar))
 
 
