@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dualcast.operators import control, features, forecast, prepare, router, tuning
+from dualcast.operators import boosting, control, features, forecast, prepare, router, tuning
 from dualcast.plans import flow
 from dualcast.plans import oracle as o
 from dualcast.plans.fixtures import daily_series, hourly_series, table
@@ -99,20 +99,15 @@ def d5(spark, sf):
     return rounded(predicted.where(F.col("split") != "base_train").select(*ID, "simple_prediction"), "simple_prediction", 5)
 
 
-def _boosted(spark, sf, trees=5):
+@query("d6_d7_boosted_forecast")
+def d6(spark, sf):
+    """300 trees of 15 leaves on at most 100,000 evenly spread rows, applied to every later row."""
     split = flow.stored_split(spark, sf)
     scaler = prepare.fit_robust_scaler(split).join(prepare.series_lengths(split), list(KEYS))
     lagged = materialize(prepare.lag_windows(prepare.scale_by(split, scaler, length="n"), 24, "z"))
-    model = forecast.fit_boosted(
-        lagged.where(F.col("split") == "base_train"),
-        {"num_leaves": 15, "learning_rate": 0.05, "n_estimators": trees, "feature_fraction": 0.8})
-    return lagged, model
-
-
-@query("d6_d7_boosted_forecast")
-def d6(spark, sf):
-    lagged, model = _boosted(spark, sf)
-    out = forecast.predict_boosted(lagged.where(F.col("split") != "base_train"), model)
+    sample = prepare.systematic_sample(lagged.where(F.col("split") == "base_train").select(*KEYS, "time_index", "lags", "z"), SAMPLE_CAP)
+    trees = boosting.load_trees(boosting.fit_trees(sample, [boosting.TreePoint(15, 0.05, 300, 0.8)]), 1)
+    out = boosting.predict_trees(lagged.where(F.col("split") != "base_train"), trees).withColumn("complex_prediction", F.col("predictions")[0] * F.col("scale_used") + F.col("median"))
     return rounded(out.select(*ID, "value", "complex_prediction"), "complex_prediction")
 
 
