@@ -115,7 +115,8 @@ def method_metrics(series: DataFrame, target: float = TARGET) -> DataFrame:
         (F.sum(F.col("simple_coverage") * rows) / F.sum(F.when(F.col("simple_coverage").isNotNull(), rows))).alias("simple_coverage"),
         F.count(F.lit(1)).alias("series_count"),
     )
-    return stats.join(medians, by).withColumn("coverage_violation", F.abs(F.col("simple_coverage") - target))
+    # rounded as it is stored: shares that are equally far from the target tie, and 0.72 is within 0.02 of 0.7
+    return stats.join(medians, by).withColumn("coverage_violation", tie_key(F.abs(F.col("simple_coverage") - target)))
 
 
 def method_order(column: str = "method") -> Column:

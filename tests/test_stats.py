@@ -87,3 +87,30 @@ def test_incomplete_pairs_are_an_error(spark):
     df = spark.createDataFrame([("s", "a", 1.0), ("s", "b", 2.0), ("t", "a", 1.0)], "series_id string, method string, rmsse double")
     with pytest.raises(Exception, match="incomplete pairs"):
         stats.metric_matrix(df, ["a", "b"]).collect()
+
+
+def test_usage_deviations_are_ranked_as_the_sql_ranks_them(spark):
+    import duckdb
+    from dualcast.operators.evaluate import method_metrics
+    from dualcast.plans import oracle as o
+    from dualcast.plans.report_queries import ranks_sql
+
+    shares = [("adaptive_router", (250, 256, 311)), ("static_router", (252, 254, 302))]  # |differences| tie before rounding
+    rows = [(f"d{i}", "s", m, k + 1, 432, 0.5, 0.5, 0.5, 0.5, n / 432) for k, (m, ns) in enumerate(shares) for i, n in enumerate(ns)]
+    series = spark.createDataFrame(rows, "dataset_id string, series_id string, method string, method_order int, test_rows long, "
+                                         "rmsse double, mase double, smape double, rmse double, simple_coverage double")
+    row = stats.usage_deviation_test(method_metrics(series), "adaptive_router", "static_router").first()
+    values = ", ".join(str((*r[:-1], f"{r[-1]!r}")).replace(f"'{r[-1]!r}'", f"CAST('{r[-1]!r}' AS DOUBLE)") for r in rows)
+    sql = (f"series_metrics(dataset_id, series_id, method, method_order, test_rows, rmsse, mase, smape, rmse, simple_coverage) AS (VALUES {values})"
+           + o.method_metrics("series_metrics", "dataset_id", "xd") + ranks_sql("xd", "dataset_id", "coverage_violation", primary="adaptive_router"))
+    n, plus, minus = duckdb.sql(f"WITH {sql} SELECT n, w_plus, w_minus FROM wsums").fetchall()[0]
+    assert (row["n"], row["statistic"]) == (n, min(plus, minus))
+
+
+def test_violation_at_the_tolerance(spark):
+    from dualcast.operators.evaluate import method_metrics
+
+    rows = [("d", "s", "static_router", 100, 0.5, 0.5, 0.5, 0.5, 0.72)]
+    series = spark.createDataFrame(rows, "dataset_id string, series_id string, method string, test_rows long, "
+                                         "rmsse double, mase double, smape double, rmse double, simple_coverage double")
+    assert method_metrics(series).first()["coverage_violation"] == 0.02
