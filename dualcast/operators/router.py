@@ -178,6 +178,41 @@ def past_loss_score(df: DataFrame, lags: int, name: str = "score") -> DataFrame:
 # ---- neighbours --------------------------------------------------------------------------
 
 
+#: Distances of a pair of blocks that are held at a time.
+TILE = 1 << 20
+
+
+def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of ``right`` per row of ``left``; a few rows of ``left`` at a time, whatever the blocks' sizes."""
+    parts = []
+    if len(left) and len(right):
+        a, b = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
+        a_id, b_id = left["id"].to_numpy(), right["id"].to_numpy()
+        del left, right
+        b_size = (b * b).sum(1)
+        last = min(k, len(b)) - 1
+        tile = max(1, TILE // len(b))
+        for start in range(0, len(a), tile):
+            part, ids = a[start : start + tile], a_id[start : start + tile]
+            own = (part * part).sum(1)
+            rough = part @ b.T
+            rough *= -2.0
+            rough += b_size
+            rough += own[:, None]
+            rough[ids[:, None] == b_id[None, :]] = np.inf
+            bound = np.partition(rough, last, axis=1)[:, last]
+            slack = 1e-9 * (own + b_size.max())
+            for row in range(len(part)):  # re-rank the few candidates with exact differences
+                near = np.flatnonzero(rough[row] <= bound[row] + slack[row])
+                near = near[np.isfinite(rough[row][near])]
+                exact = np.sqrt(((b[near] - part[row]) ** 2).sum(1))
+                best = np.lexsort((b_id[near], exact))[:k]
+                parts.append((np.full(len(best), ids[row]), b_id[near][best], exact[best]))
+    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [[], [], []]
+    found = dict(zip(("id", "neighbour", "distance"), columns))
+    return pd.DataFrame(found).astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
+
+
 def knn(df: DataFrame, k: int, vector: str, row_id: str = "row_id", block_rows: int = 16384) -> DataFrame:
     """Exact k nearest neighbours by Euclidean distance, self excluded, equal distances by id.
 
@@ -192,27 +227,7 @@ def knn(df: DataFrame, k: int, vector: str, row_id: str = "row_id", block_rows:
     references = placed.select(others.alias("q"), F.col("_b").alias("r"), F.col("id").alias("id"), F.col("x").alias("x"))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: dict[str, list] = {"id": [], "neighbour": [], "distance": []}
-        if len(left) and len(right):
-            a, b = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
-            a_id, b_id = left["id"].to_numpy(), right["id"].to_numpy()
-            b_size = (b * b).sum(1)
-            for start in range(0, len(a), 512):
-                part, ids = a[start : start + 512], a_id[start : start + 512]
-                size = (part * part).sum(1)[:, None] + b_size[None, :]
-                rough = size - 2.0 * (part @ b.T)
-                rough[ids[:, None] == b_id[None, :]] = np.inf
-                bound = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
-                slack = 1e-9 * size.max(1)
-                for row in range(len(part)):  # re-rank the few candidates with exact differences
-                    near = np.flatnonzero(rough[row] <= bound[row] + slack[row])
-                    near = near[np.isfinite(rough[row][near])]
-                    exact = np.sqrt(((b[near] - part[row]) ** 2).sum(1))
-                    best = np.lexsort((b_id[near], exact))[:k]
-                    found["id"].extend([ids[row]] * len(best))
-                    found["neighbour"].extend(b_id[near][best])
-                    found["distance"].extend(exact[best])
-        return pd.DataFrame(found).astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
+        return _nearest(left, right, k)
 
     partial = queries.groupBy("q", "r").cogroup(references.groupBy("q", "r")).applyInPandas(
         nearest, "id long, neighbour long, distance double"

@@ -101,3 +101,19 @@ def test_standardizer_keeps_constant_features_finite(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 2.0)], "a double, b double")
     out = router.standardize(df, router.fit_standardizer(df, ["a", "b"])).orderBy(F.col("a")).collect()
     assert [tuple(r) for r in out] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_neighbours_of_full_blocks_hold_few_distances():
+    """A pair of full blocks has 268 million distances (2 GB); all rows at once take no more than a few tiles."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    b = pd.DataFrame({"id": np.arange(16384), "x": list(rng.normal(size=(16384, 4)))})
+    a = b.iloc[:1500]
+    tracemalloc.start()
+    found = router._nearest(a, b, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 4500 and peak < 60e6
