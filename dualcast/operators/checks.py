@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from dualcast.functions.expressions import is_finite
 from dualcast.operators.blocks import BLOCK_ROWS, over_history, rows_so_far
 from dualcast.operators.prepare import split_order
 from dualcast.operators.ranking import exact_quantiles
+from dualcast.session import materialize
 from dualcast.settings import KEYS, MIN_LENGTH, SPLITS
 
 
@@ -59,16 +61,39 @@ def mean_squared_difference(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFr
     )
 
 
+def _words(df: DataFrame, predicate: Column, keys: Sequence[str], size: int) -> DataFrame:
+    """One row per ``size`` (64 at most) consecutive positions: a bit for each row that holds; stored."""
+    bit = F.when(predicate, F.expr(f"shiftleft(1L, cast(pmod(time_index, {size}) as int))")).otherwise(F.lit(0).cast("long"))
+    word = F.expr(f"(time_index - pmod(time_index, {size})) div {size}").alias("_word")
+    return materialize(df.groupBy(*keys, word).agg(F.bit_or(bit).alias("_bits")))
+
+
+def _pieces(words: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """Runs of set bits inside each word."""
+    bits = F.col("_bits")
+    places = lambda m: F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.call_function("getbit", m, i) == 1)
+    starts = places(bits.bitwiseAND(F.bitwise_not(F.shiftleft(bits, 1))))
+    ends = places(bits.bitwiseAND(F.bitwise_not(F.shiftrightunsigned(bits, 1))))
+    pairs = words.where(bits != 0).select(*keys, "_word", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("_p"))
+    first = F.col("_word") * size
+    return pairs.select(*keys, (first + F.col("_p.s")).alias("start"), (first + F.col("_p.e")).alias("end"))
+
+
 def runs(df: DataFrame, predicate: Column, keys: Sequence[str] = KEYS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Maximal runs of consecutive rows for which the predicate holds: start, end and length.
 
-    Runs are found inside blocks of rows. Only pieces at a block's border can continue, at most two per
-    block, so they alone are joined over larger blocks and at last over the whole series.
+    Rows are first gathered into words of bits, where runs are read off without sorting rows. Only pieces at a
+    word's border can continue, at most two per word, so they alone are joined over blocks, larger blocks and at
+    last over the whole series.
     """
-    pieces = df.where(predicate).select(*keys, F.col("time_index").alias("start"), F.col("time_index").alias("end"))
-    found = None
-    for size in (block_rows, block_rows * block_rows):
-        joined = _join_touching(pieces, keys, F.expr(f"start div {size}"))
+    size = math.gcd(64, block_rows)
+    return _joined_runs(_words(df, predicate, keys, size), keys, size, block_rows)
+
+
+def _joined_runs(words: DataFrame, keys: Sequence[str], word_rows: int, block_rows: int) -> DataFrame:
+    pieces, found = _pieces(words, keys, word_rows), None
+    for size in (word_rows, block_rows, block_rows * block_rows):
+        joined = pieces if size == word_rows else _join_touching(pieces, keys, F.expr(f"start div {size}"))
         at_border = (F.col("start") % size == 0) | (F.col("end") % size == size - 1)
         inside = joined.where(~at_border)
         found = inside if found is None else found.unionByName(inside)
@@ -89,9 +114,11 @@ def _join_touching(pieces: DataFrame, keys: Sequence[str], block: Column | None)
 
 def longest_run(df: DataFrame, predicate: Column, keys: Sequence[str] = KEYS) -> DataFrame:
     """Length of the longest run per series, 0 where the predicate never holds."""
-    best = runs(df, predicate, keys).groupBy(*keys).agg(F.max("length").alias("longest_run"))
-    everyone = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    return everyone.join(best, list(keys), "left").withColumn("longest_run", F.coalesce("longest_run", F.lit(0)))
+    size = math.gcd(64, BLOCK_ROWS)
+    words = _words(df, predicate, keys, size)  # also those without a bit: they name every series
+    lengths = _joined_runs(words, keys, size, BLOCK_ROWS).select(*keys, "length")
+    everyone = words.select(*keys, F.lit(0).cast("long").alias("length"))
+    return lengths.unionByName(everyone).groupBy(*keys).agg(F.max("length").alias("longest_run"))
 
 
 def holdout_start(df: DataFrame, horizon: int, step: str = "hour", keys: Sequence[str] = KEYS) -> DataFrame:

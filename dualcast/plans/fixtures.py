@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dualcast.operators.blocks import BLOCK_ROWS
@@ -13,28 +13,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def densify(cells: DataFrame, first: int, last: int, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+def densify(cells: DataFrame, first: int, last: int, keys: tuple[str, ...] = ("series_id",), series: DataFrame | None = None) -> DataFrame:
     """One row per key and time index from ``first`` to ``last``; absent cells become 0.
 
-    ``cells`` has the keys, ``tick`` and ``value``. The grid is laid out by blocks first, so that one
-    series is expanded by many tasks.
+    ``cells`` has the keys, ``tick`` and ``value``; ``series`` may name the keys where that is cheaper to read.
+    Every block of a series opens with a mark, and each cell or mark is expanded up to the next one of its block,
+    so only the cells are shuffled, never the rows between them, and one series is expanded by many tasks.
     """
     steps = last - first + 1
-    grid = (
-        cells.select(*keys).distinct()
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((steps - 1) // BLOCK_ROWS))))
-        .repartition(*keys, "_block")
-        .withColumn(
-            "time_index",
-            F.explode(F.expr(
-                f"sequence(cast(_block as bigint) * {BLOCK_ROWS}, "
-                f"least(cast(_block as bigint) * {BLOCK_ROWS} + {BLOCK_ROWS - 1}, {steps - 1}L))"
-            )),
-        )
-        .drop("_block")
+    series = cells.select(*keys).distinct() if series is None else series
+    marks = series.withColumn("_from", F.explode(F.expr(f"sequence(0L, {steps - 1}L, {BLOCK_ROWS}L)"))).withColumn("value", F.lit(None).cast("double"))
+    filled = cells.select(*keys, (F.col("tick") - first).alias("_from"), "value").where(F.col("_from").isNotNull())
+    block = F.expr(f"_from div {BLOCK_ROWS}")
+    # a mark comes before a cell of the same tick, and then covers no row
+    order = Window.partitionBy(*keys, "_block").orderBy("_from", F.col("value").asc_nulls_first())
+    end = F.least((F.col("_block") + 1) * BLOCK_ROWS, F.lit(steps))
+    spans = filled.unionByName(marks).withColumn("_block", block).withColumn("_next", F.coalesce(F.lead("_from").over(order), end))
+    rows = spans.where(F.col("_next") > F.col("_from")).select(
+        *keys, "_from", "value", F.explode(F.sequence("_from", F.col("_next") - 1)).alias("time_index")
+    )
+    return rows.select(
+        *keys, "time_index", F.when(F.col("time_index") == F.col("_from"), F.coalesce("value", F.lit(0.0))).otherwise(0.0).alias("value")
     )
-    filled = cells.select(*keys, (F.col("tick") - first).alias("time_index"), "value")
-    return grid.join(filled, [*keys, "time_index"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
 def hourly_series(spark: SparkSession, sf_dir: str, groups: int = 4) -> DataFrame:
@@ -61,7 +61,8 @@ def _daily(cells_source: DataFrame, dataset_id: str) -> DataFrame:
         F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("value")
     )
     stamp = F.timestamp_seconds((F.col("time_index") + first) * 86400).cast("timestamp_ntz")
-    return densify(cells, first, last).select(
+    series = cells_source.select("series_id").distinct()
+    return densify(cells, first, last, series=series).select(
         F.lit(dataset_id).alias("dataset_id"), "series_id", "time_index", stamp.alias("timestamp"), "value"
     )
 

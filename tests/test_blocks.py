@@ -103,3 +103,26 @@ def test_fold_schedule_needs_enough_rows(spark):
     counts = spark.createDataFrame([("d", "a", 40)], "dataset_id string, series_id string, n long")
     with pytest.raises(Exception, match="too few rows"):
         prepare.fold_schedule(counts, 24, 24, 168, 24).collect()
+
+
+@pytest.mark.parametrize("size", [1, 4, 100])
+def test_series_are_filled_without_joins(spark, monkeypatch, size):
+    from dualcast.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "BLOCK_ROWS", size)
+    cells = spark.createDataFrame([("a", 3, 1.5), ("a", 7, None), ("a", 12, 2.0), ("b", 5, 4.0)], "series_id string, tick long, value double")
+    out = fixtures.densify(cells, 3, 12)
+    assert "Join" not in out._jdf.queryExecution().toString()
+    values = {("a", 0): 1.5, ("a", 9): 2.0, ("b", 2): 4.0}
+    want = [(s, i, values.get((s, i), 0.0)) for s in "ab" for i in range(10)]
+    assert sorted(map(tuple, out.collect())) == want
+
+
+def test_runs_are_joined_from_few_pieces(spark, monkeypatch):
+    """A run of 9,900 rows reaches the joins as one piece per word, not as its rows."""
+    received = []
+    join = checks._join_touching
+    monkeypatch.setattr(checks, "_join_touching", lambda pieces, keys, block: received.append(pieces.count()) or join(pieces, keys, block))
+    df = spark.range(10_000).select(F.lit("d").alias("dataset_id"), F.lit("s").alias("series_id"), F.col("id").alias("time_index"), (F.col("id") < 100).cast("int").alias("value"))
+    found = checks.runs(df, F.col("value") == 0).select("start", "end", "length").collect()
+    assert [tuple(r) for r in found] == [(100, 9999, 9900)] and max(received) <= 10_000 // 64 + 1
