@@ -1,11 +1,14 @@
 """Exact global ranks, running totals and quantiles that stay distributed.
 
-There is one plan at every size: a range sort, rows numbered inside each sorted partition, the result
-stored, and one total per partition combined. No group is gathered in a task, however many rows it has.
+Ranks and totals have one plan at every size: a range sort, rows numbered inside each sorted partition, the result
+stored, and one total per partition combined. Quantiles take that plan too as soon as one group has more than
+``GROUP_VALUES`` distinct values; many smaller groups are each sorted in a task, without a sort over all of them.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +17,10 @@ from pyspark.sql import functions as F
 from dualcast.session import materialize
 
 
+#: Groups of at most so many distinct values are sorted by themselves.
+GROUP_VALUES = 100_000
+
+
 def _sorted_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     numbered = df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id())
     # the id keeps the partition number above bit 33 and the row number below it
@@ -67,8 +74,37 @@ def exact_quantiles(
 
 
 def _ranked_quantiles(values: DataFrame, keys: list[str], probabilities: Sequence[float], name: str) -> DataFrame:
-    """Two order statistics per probability, picked from a global sort of the distinct values."""
-    distinct = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    """Two order statistics per probability, from the sorted distinct values."""
+    distinct = materialize(values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    largest = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    pick = _sorted_globally if (largest or 0) > GROUP_VALUES else _sorted_by_group
+    return pick(distinct, keys, probabilities, name)
+
+
+def _blend(at: Column, low: Column, high: Column) -> Column:
+    """The same blend as the built-in: weights against the two neighbouring ranks."""
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
+def _sorted_by_group(distinct: DataFrame, keys: list[str], probabilities: Sequence[float], name: str) -> DataFrame:
+    """The order statistics of groups that a task can sort each."""
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_c").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    named = distinct.dropna(subset=keys)
+    ranked = named.withColumn("_upto", upto).withColumn("_n", F.sum("_c").over(group))
+    wanted = [F.lit(float(p)) * (F.col("_n") - 1) for p in probabilities]
+    holds = lambda position: (F.col("_upto") - F.col("_c") <= position) & (position < F.col("_upto"))
+    sides = [c for at in wanted for c in (holds(F.floor(at)), holds(F.ceil(at)))]
+    found = ranked.where(functools.reduce(operator.or_, sides)).groupBy(*keys).agg(
+        F.max("_n").alias("_n"), *[F.max(F.when(side, F.col("_v"))).alias(f"_s{i}") for i, side in enumerate(sides)]
+    )
+    return found.select(*keys, F.array(*[
+        _blend(at, F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}")) for i, at in enumerate(wanted)
+    ]).alias(name))
+
+
+def _sorted_globally(distinct: DataFrame, keys: list[str], probabilities: Sequence[float], name: str) -> DataFrame:
+    """The order statistics of groups of any size, from one sort of all groups."""
     order = [*[F.col(k) for k in keys], F.col("_v")]
     ranked = running_totals(distinct, order, {"_upto": "_c"})
     groups = ranked.groupBy(*keys).agg(
@@ -88,9 +124,6 @@ def _ranked_quantiles(values: DataFrame, keys: list[str], probabilities: Sequenc
     pair = picked.where(holds(lower) | holds(upper)).groupBy(*keys, "_i", "_at").agg(
         F.max(F.when(holds(lower), F.col("_v"))).alias("_lo"), F.max(F.when(holds(upper), F.col("_v"))).alias("_hi")
     )
-    # same blend as the built-in: weights against the two neighbouring ranks
-    blended = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
-        (F.ceil("_at") - F.col("_at")) * F.col("_lo") + (F.col("_at") - F.floor("_at")) * F.col("_hi")
-    )
+    blended = _blend(F.col("_at"), F.col("_lo"), F.col("_hi"))
     entries = pair.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", blended.alias("_q")))).alias("_a"))
     return entries.select(*keys, F.col("_a._q").alias(name))

@@ -63,3 +63,12 @@ def test_hash_sample_of_a_hot_stratum(spark):
         order = sorted(ids, key=lambda s: (hashlib.sha256(f"5|d|{kind}|{s}".encode()).hexdigest(), s))
         want.update({(kind, s): i + 1 for i, s in enumerate(order[:share])})
     assert got == want
+
+
+def test_small_groups_are_not_sorted_together(skewed, monkeypatch):
+    """Groups of few values need no sort over all of them; with larger ones the result is the same."""
+    by_group = ranking.exact_quantiles(skewed, ["k"], "v", PROBABILITIES)
+    assert "rangepartitioning" not in by_group._jdf.queryExecution().toString().lower()
+    near = {r["k"]: r["quantiles"] for r in by_group.collect()}
+    monkeypatch.setattr(ranking, "GROUP_VALUES", 10)
+    assert {r["k"]: r["quantiles"] for r in ranking.exact_quantiles(skewed, ["k"], "v", PROBABILITIES).collect()} == near
