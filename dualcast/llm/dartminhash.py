@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dualcast.llm.common import arrow_pass, cells, materialize
-from dualcast.llm.setlinks import link_components, packed_sets, shared_members
+from dualcast.llm.setlinks import link_components, packed_sets, shared_members, sketch_of
 
 WORDS, SIMILARITY = 5, 0.8
 #: So many bands that a pair at the threshold shares none of them with a probability of 1.3e-5.
@@ -154,16 +154,17 @@ def text_key(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc, node, bands`` of the rows with a word: the band keys of both signatures."""
+    """``doc, node, bands, size, sketch`` of the rows with a word: the band keys of both signatures, weight and parity sketch."""
     kind = dict(docs.dtypes)[doc_id]
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
-            keys = keys_of([shingle(t) for t in cells(batch, "text")])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(keys)], ["doc", "node", "bands"])
+            sets = [shingle(t) for t in cells(batch, "text")]
+            size, sketch = pa.array([weight(*s) for s in sets], pa.float64()), pa.array([sketch_of(e) for e, _ in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(keys_of(sets)), size, sketch], ["doc", "node", "bands", "size", "sketch"])
 
-    return arrow_pass(_rows(docs, doc_id, text), passes, f"doc {kind}, node binary, bands array<long>")
+    return arrow_pass(_rows(docs, doc_id, text), passes, f"doc {kind}, node binary, bands array<long>, size double, sketch binary")
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -191,14 +192,17 @@ def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 def _classified(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Stored ``doc, node, label`` of the rows with a word, and per label its first (doc, node) and size."""
     found = materialize(sketches(docs, doc_id, text))
-    nodes = found.groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc").alias("least"))
+    nodes = found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("bands", "size", "sketch")), F.min("doc").alias("least"))
     nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()))
     rest = shared_members(nodes.select("id", F.explode("bands").alias("bucket"), F.lit(0).alias("role")))
-    one = materialize(nodes.select("id", F.col("node").alias("n"), "least").join(rest.select("id").distinct(), "id"))
-    # the same plan at every size: texts go to their representatives
-    texts = _rows(docs, doc_id, text).join(one.hint("merge"), F.col("doc").eqNullSafe(F.col("least")) & (F.col("node") == F.col("n")))
-    sets = materialize(packed_sets(texts.dropDuplicates(["doc", "node"]).select("id", "text"), Shingler, weight))
-    labels = link_components(rest, sets, similar, (1 - SIMILARITY) / (1 + SIMILARITY))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        one = materialize(nodes.select("id", F.col("node").alias("n"), "least").join(ids, "id"))
+        # the same plan at every size: texts go to their representatives
+        texts = _rows(docs, doc_id, text).join(one.hint("merge"), F.col("doc").eqNullSafe(F.col("least")) & (F.col("node") == F.col("n")))
+        return materialize(packed_sets(texts.dropDuplicates(["doc", "node"]).select("id", "text"), Shingler))
+
+    labels = link_components(rest, nodes.select("id", "size", "sketch"), sets_of, similar, (1 - SIMILARITY) / (1 + SIMILARITY))
     named = nodes.select("node", "id").join(labels, "id", "left").select("node", F.coalesce("label", "id").alias("label"))
     labelled = materialize(found.select("doc", "node").join(named, "node"))
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "node")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from dualcast.llm.common import arrow_pass, cells, materialize
 from dualcast.llm.dartminhash import WORD, Shingler, _lists, _mix
-from dualcast.llm.setlinks import DELETION, VISITOR, link_components, packed_sets, shared_members
+from dualcast.llm.setlinks import DELETION, VISITOR, link_components, packed_sets, shared_members, sketch_of
 
 WORDS, PERCENT = 3, 90
 #: A band's sets are up to so many times as large as its least.
@@ -148,7 +148,7 @@ def allocate(equal: np.ndarray, neighbours: np.ndarray, worth: int) -> np.ndarra
 
 
 def shingle_rows(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
-    """``doc, key, node, n, home, visit`` of the rows with a word: digests of text and set, size and subset keys."""
+    """``doc, key, node, n, sketch, home, visit`` of the rows with a word: digests of text and set, size, parity sketch and subset keys."""
     kind = dict(docs.dtypes)[doc_id]
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +164,10 @@ def shingle_rows(docs: DataFrame, doc_id: str, text: str, words: int, percent: i
                 visit.append(np.concatenate(more) if more else nothing)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(e.tobytes()) for e in sets], pa.binary()),
-                pa.array([len(e) for e in sets], pa.int64()), _lists(home), _lists(visit),
-            ], ["doc", "key", "node", "n", "home", "visit"])
+                pa.array([len(e) for e in sets], pa.int64()), pa.array([sketch_of(e) for e in sets], pa.binary()), _lists(home), _lists(visit),
+            ], ["doc", "key", "node", "n", "sketch", "home", "visit"])
 
-    return arrow_pass(_rows(docs, doc_id, text), passes, f"doc {kind}, key binary, node binary, n long, home array<long>, visit array<long>")
+    return arrow_pass(_rows(docs, doc_id, text), passes, f"doc {kind}, key binary, node binary, n long, sketch binary, home array<long>, visit array<long>")
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -236,9 +236,9 @@ def link_table(docs: DataFrame, doc_id: str, text: str, words: int, percent: int
     nodes = found.groupBy("node").agg(first, F.first("n").alias("n"))
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("id"), F.col("node").alias("set"), F.col("first.doc").alias("least"), F.col("first.key").alias("text_key"), "n"))
     least = F.col("doc").eqNullSafe(F.col("least")) & (F.col("key") == F.col("text_key"))
-    own = found.where("size(home) + size(visit) > 0").select("doc", "key", "home", "visit")
+    own = found.where("size(home) + size(visit) > 0").select("doc", "key", "sketch", "home", "visit")
     indexed = own.join(nodes.select("id", "least", "text_key", "n").hint("merge"), least).dropDuplicates(["doc", "key"])
-    indexed = materialize(indexed.select("id", "n", "home", "visit"))
+    indexed = materialize(indexed.select("id", "n", "sketch", "home", "visit"))
 
     members = indexed.select("id", F.size("home").alias("own"), F.posexplode(F.concat("home", "visit")).alias("at", "bucket"))
     members = members.select("id", "bucket", F.when(F.col("at") < F.col("own"), 0).otherwise(VISITOR).alias("role"))
@@ -258,13 +258,15 @@ def link_table(docs: DataFrame, doc_id: str, text: str, words: int, percent: int
         near = _neighbours(texts_of(inside.join(chosen, "scheme", "left_semi").select("id").distinct()), levels, words, percent)
         rest = materialize(rest.union(shared_members(materialize(near))))
 
-    sets = materialize(packed_sets(texts_of(rest.select("id").distinct()), lambda: shingler(words), lambda e, _: len(e)))
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return materialize(packed_sets(texts_of(ids), lambda: shingler(words)))
 
     def check(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
         both = len(np.intersect1d(a[0], b[0], assume_unique=True))
         return 100 * both >= percent * (len(a[0]) + len(b[0]) - both)
 
-    labels = link_components(rest, sets, check, (100 - percent) / (100 + percent))
+    known = indexed.select("id", F.col("n").cast("double").alias("size"), "sketch")
+    labels = link_components(rest, known, sets_of, check, (100 - percent) / (100 + percent))
     named = nodes.join(labels, "id", "left").select("set", F.coalesce("label", "id").alias("label"))
     return materialize(found.select("doc", "n", F.col("node").alias("set")).join(named, "set").drop("set"))
 

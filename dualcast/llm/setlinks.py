@@ -6,10 +6,11 @@ differ in more bits than a link may differ in elements is none; every other pair
 
 Members of a bucket are compared inside tasks, in blocks of at most ``BLOCK`` of each side. The first
 round keeps every member in one block and passes on a tree over the pairs that the sketches allow, so it
-is linear in the members. Further rounds meet all blocks of buckets that still hold several components;
-they pass on pairs of different components only, the closest ones first, and more in each round, until no
-pair of different components is left unchecked. So no bucket is cut, and no row is made for a pair that
-the sketches rule out or whose texts are already in one component.
+is linear in the members. A set that no other one of its bucket comes near to by sketches is done with where
+that bucket is one block, so elements are fetched only for the others. Further rounds meet the blocks of
+buckets that still hold several components; they pass on pairs of different components only, the closest
+ones first, and more in each round, until no pair of different components is left unchecked. So no bucket is
+cut, and no row is made for a pair that the sketches rule out or whose texts are already in one component.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ BLOCK = 512
 #: Pairs of two components that the second round checks, and how many times as many each further one.
 FIRST_PAIRS, MORE = 4, 8
 #: Bits of a sketch for each element, and at least.
-BITS_EACH, LEAST_BITS = 4, 512
+BITS_EACH, LEAST_BITS = 2, 256
 #: Roles that are not compared with their own kind (bits of ``role``).
 VISITOR, DELETION = 1, 2
 
@@ -220,20 +221,19 @@ def _counts(packed: bytes, elements: bytes) -> np.ndarray:
     return np.frombuffer(packed, "<u4") if packed else np.ones(len(elements) // 8, np.uint32)
 
 
-def packed_sets(rows: DataFrame, sets_of: Callable[[], Callable[[str], tuple[np.ndarray, np.ndarray]]], size_of: Callable) -> DataFrame:
-    """``id, size, sketch, elements, counts`` of rows (``id, text``); ``sets_of`` makes a task's shingler."""
+def packed_sets(rows: DataFrame, sets_of: Callable[[], Callable[[str], tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """``id, elements, counts`` of rows (``id, text``); ``sets_of`` makes a task's shingler."""
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = sets_of()
         for batch in batches:
             found = [shingle(t) for t in cells(batch, "text")]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([float(size_of(*s)) for s in found], pa.float64()),
-                pa.array([sketch_of(e) for e, _ in found], pa.binary()), pa.array([e.astype("<u8").tobytes() for e, _ in found], pa.binary()),
+                batch.column(0), pa.array([e.astype("<u8").tobytes() for e, _ in found], pa.binary()),
                 pa.array([c.astype("<u4").tobytes() if (c > 1).any() else b"" for _, c in found], pa.binary()),
-            ], ["id", "size", "sketch", "elements", "counts"])
+            ], ["id", "elements", "counts"])
 
-    return arrow_pass(rows.select("id", "text"), passes, "id long, size double, sketch binary, elements binary, counts binary")
+    return arrow_pass(rows.select("id", "text"), passes, "id long, elements binary, counts binary")
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -278,17 +278,21 @@ def _own_block(members: Column) -> Column:
     return F.pmod(F.xxhash64("id"), F.ceil(members / F.lit(float(BLOCK)))).cast("int")
 
 
-def link_components(rest: DataFrame, sets: DataFrame, check: Check, part: float) -> DataFrame:
-    """Stored ``id, label`` of every set in ``sets``: the least id that links reach, from shared buckets.
+def link_components(rest: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], check: Check, part: float) -> DataFrame:
+    """Stored ``id, label`` of every set that links may reach: the least id that they reach, from shared buckets.
 
-    ``rest`` is ``bucket, members, id, role``. A pair that shares a bucket, where not both are visitors or
-    both deletions, ends in one component if ``check`` holds, or has been checked. ``part`` of the sum of
-    both sizes bounds the elements in which a link's sets differ.
+    ``rest`` is ``bucket, members, id, role``, ``known`` ``id, size, sketch`` of its sets; ``sets_of`` returns the
+    stored elements and counts of the sets asked for (``id``). A pair that shares a bucket, where not both are
+    visitors or both deletions, ends in one component if ``check`` holds, or has been checked. ``part`` of the
+    sum of both sizes bounds the elements in which a link's sets differ.
     """
-    known = sets.select("id", "size", "sketch")
-    labels = materialize(sets.select("id", F.col("id").alias("label")))
     first = rest.withColumn("block", _own_block(F.col("members"))).select("*", F.col("block").alias("x"), F.col("block").alias("y"))
     done = _pairs(first.join(known, "id").withColumn("label", F.col("id")), part, None).select("a", "b")
+    near, several = done.select(F.col("a").alias("id")).union(done.select("b")).distinct(), F.col("members") > BLOCK
+    ids = materialize(near.union(rest.where(several).select("id")).distinct())
+    # in a bucket of one block the first round has seen every pair
+    rest = materialize(rest.where(several).unionByName(rest.where(~several).join(near, "id", "left_semi")))
+    sets, labels = sets_of(ids), materialize(ids.withColumn("label", F.col("id")))
     labels = merged(labels, materialize(linked(done, sets, check)))
     limit = FIRST_PAIRS
     while True:
