@@ -9,8 +9,9 @@ round keeps every member in one block and passes on a tree over the pairs that t
 is linear in the members. A set that no other one of its bucket comes near to by sketches is done with where
 that bucket is one block, so elements are fetched only for the others. Further rounds meet the blocks of
 buckets that still hold several components; they pass on pairs of different components only, the closest
-ones first, and more in each round, until no pair of different components is left unchecked. So no bucket is
-cut, and no row is made for a pair that the sketches rule out or whose texts are already in one component.
+ones first, and more in each round, until no pair of different components is left unchecked. A component
+larger than a block has blocks of its own, which do not meet each other. So no bucket is cut, and no row is
+made for a pair that the sketches rule out or whose texts are already in one component.
 """
 
 from __future__ import annotations
@@ -313,8 +314,23 @@ def link_components(rest: DataFrame, known: DataFrame, sets_of: Callable[[DataFr
 
 
 def _block_pairs(now: DataFrame) -> DataFrame:
-    """Each member with every block of its bucket that its own block meets."""
-    blocks = F.ceil(F.col("members") / F.lit(float(BLOCK))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    found = now.withColumn("block", _own_block(F.col("members"))).select("*", other.alias("other"))
-    return found.select("bucket", "id", "role", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    """Each member with every block of its bucket that its own block meets; blocks are named by their least id.
+
+    Components of at most ``BLOCK`` members share blocks, which meet all blocks. A larger one has its own, which
+    meet those of other components only: a bucket of one large component and few others stays linear.
+    """
+    columns = ("bucket", "id", "role", "label")
+    one = now.where(F.col("members") <= BLOCK).select(*columns, *(F.lit(0).cast("long").alias(c) for c in ("block", "x", "y")))
+    wide = now.where(F.col("members") > BLOCK).select(*columns)
+    sizes = wide.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.withColumn("part", F.when(F.col("size") > BLOCK, F.col("label")).otherwise(-1))
+    sums = materialize(sizes.groupBy("bucket", "part").agg(F.sum("size").alias("members")))
+    wide = wide.join(sums.where("part >= 0").select("bucket", F.col("part").alias("label"), "part"), ["bucket", "label"], "left")
+    wide = wide.withColumn("part", F.coalesce("part", F.lit(-1).cast("long"))).join(sums, ["bucket", "part"])
+    wide = materialize(wide.select(*columns, "part", _own_block(F.col("members")).alias("number")))
+    blocks = materialize(wide.groupBy("bucket", "part", "number").agg(F.min("id").alias("block")))
+    side = lambda at: blocks.select("bucket", F.col("part").alias(f"part_{at}"), F.col("block").alias(at))
+    pairs = side("x").join(side("y"), "bucket").where("x <= y and (part_x <> part_y or part_x = -1)").select("bucket", "x", "y")
+    meets = materialize(pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y")))))
+    wide = wide.join(blocks, ["bucket", "part", "number"]).join(meets, ["bucket", "block"])
+    return one.unionByName(wide.select(*columns, "block", "x", "y"))

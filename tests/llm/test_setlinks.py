@@ -1,4 +1,4 @@
-"""Links of sets that share buckets: small blocks, and elements only where sketches come near."""
+"""Blocks of wide buckets: linear where one component holds nearly all members, and no pair of components left out."""
 
 import random
 
@@ -6,9 +6,37 @@ import pytest
 from dualcast.llm import dartminhash as near
 from dualcast.llm import jaccardjoin as join
 from dualcast.llm import setlinks
+from pyspark.sql import functions as F
 from test_dartminhash import brute_classes, classes
 
 
+def members(spark, n, label):
+    df = spark.range(n).withColumns({"bucket": F.lit(7).cast("long"), "members": F.lit(n).cast("long"), "role": F.lit(0), "label": label})
+    return df.select("bucket", "members", "id", "role", "label")
+
+
+def test_rows_of_a_large_component_are_not_repeated_for_its_own_blocks(spark):
+    n, few = 20 * setlinks.BLOCK, 5
+    label = F.when(F.col("id") < few, F.col("id")).otherwise(F.lit(few).cast("long"))
+    rows = setlinks._block_pairs(members(spark, n, label))
+    assert rows.count() <= n + few * (n // setlinks.BLOCK + 2)
+    met = rows.groupBy("x", "y").agg(F.sum(F.when(F.col("label") < few, 1).otherwise(0)).alias("few")).collect()
+    assert len(met) in (n // setlinks.BLOCK + 1, n // setlinks.BLOCK + 2) and {r["few"] for r in met} == {few}
+
+
+def test_every_pair_of_components_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(setlinks, "BLOCK", 4)
+    rng = random.Random(2)
+    labels = [rng.choice([0, 0, 0, 1, 1, 2, 3, 4, 5 + i]) for i in range(60)]
+    df = members(spark, 60, F.element_at(F.array(*(F.lit(x).cast("long") for x in labels)), F.col("id").cast("int") + 1))
+    pairs = []
+    for r in setlinks._block_pairs(df).groupBy("x", "y").agg(F.collect_list(F.struct("id", "block")).alias("rows")).collect():
+        pairs += [tuple(sorted((a["id"], b["id"]))) for a in r["rows"] for b in r["rows"]
+                  if a["id"] < b["id"] and (r["x"] == r["y"] or a["block"] != b["block"])]
+    wanted = {(a, b) for a in range(60) for b in range(a + 1, 60) if labels[a] != labels[b]}
+    assert len(pairs) == len(set(pairs)) and wanted <= set(pairs)
+
+
 def test_same_classes_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(setlinks, "BLOCK", 8)
     rng = random.Random(3)
