@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dualcast.operators.ranking import exact_quantiles
 from dualcast.session import materialize
 from dualcast.settings import SAMPLE_CAP, SEED
 
 #: Bins of a lag, and the least rows of a leaf.
 BINS, LEAF_ROWS = 255, 20
+#: Bin numbers that a histogram counts at a time: they stay in the processor's cache.
+TILE = 1 << 15
 TREES = "model int, tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>"
 
 
@@ -62,27 +63,45 @@ class Tree:
 
 def _best_split(sums: np.ndarray, counts: np.ndarray, leaf_rows: int) -> tuple[float, int, int]:
     """Gain, feature and bin of the best split of one node; ties go to the first feature, then the least bin."""
-    left, n_left = sums.cumsum(axis=1)[:, :-1], counts.cumsum(axis=1)[:, :-1]
+    gain, n_left = sums.cumsum(axis=1)[:, :-1], counts.cumsum(axis=1)[:, :-1]
     total, n = sums[0].sum(), counts[0].sum()
-    right, n_right = total - left, n - n_left
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = left * left / n_left + right * right / n_right - total * total / n
-    gain = np.where((n_left >= leaf_rows) & (n_right >= leaf_rows), gain, -np.inf)
+    right, n_right = total - gain, n - n_left
+    few = (n_left < leaf_rows) | (n_right < leaf_rows)
+    with np.errstate(divide="ignore", invalid="ignore"):  # left^2 / rows left + right^2 / rows right - total^2 / rows
+        gain *= gain
+        gain /= n_left
+        right *= right
+        right /= n_right
+        gain += right
+        gain -= total * total / n
+    gain[few] = -np.inf
     at = int(gain.argmax())
     return float(gain.flat[at]), at // gain.shape[1], at % gain.shape[1]
 
 
 def grow_tree(
     bins: np.ndarray, residual: np.ndarray, features: np.ndarray, edges: np.ndarray, leaves: int, rate: float, leaf_rows: int = LEAF_ROWS,
+    columns: np.ndarray | None = None,
 ) -> tuple[Tree, np.ndarray]:
-    """One tree on the residuals and its output for every row. ``bins`` holds row x lag bin numbers."""
+    """One tree on the residuals and its output for every row. ``bins`` holds row x lag bin numbers, ``columns`` the same by lag."""
     size = len(edges) + 1
-    codes = bins[:, features].astype(np.int32) + (np.arange(len(features)) * size).astype(np.int32)
+    if columns is None:
+        columns = np.ascontiguousarray(bins.T)
 
     def histogram(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        flat = codes[rows].ravel()
-        sums = np.bincount(flat, np.repeat(residual[rows], len(features)), len(features) * size)
-        return sums.reshape(-1, size), np.bincount(flat, minlength=len(features) * size).reshape(-1, size)
+        """Sums and counts per lag and bin, a few lags at a time; a bin adds its rows in their order."""
+        mine, step = residual[rows], max(1, TILE // max(1, len(rows)))
+        sums, counts = np.empty((len(features), size)), np.empty((len(features), size))
+        for start in range(0, len(features), step):
+            some = features[start : start + step]
+            if len(some) == 1:
+                codes, weights = columns[some[0]].take(rows, mode="clip").astype(np.intp), mine  # clip: no check of every number
+            else:
+                codes = (columns[some[:, None], rows] + np.arange(0, len(some) * size, size)[:, None]).ravel()
+                weights = np.tile(mine, len(some))
+            sums[start : start + step] = np.bincount(codes, weights, len(some) * size).reshape(-1, size)
+            counts[start : start + step] = np.bincount(codes, minlength=len(some) * size).reshape(-1, size)
+        return sums, counts
 
     feature, threshold, left, right, members = [-1], [0.0], [-1], [-1], [np.arange(len(bins))]
     tables = {0: histogram(members[0])}
@@ -97,7 +116,7 @@ def grow_tree(
     while waiting and (len(feature) + 1) // 2 < leaves:
         _, node, f, b = heapq.heappop(waiting)
         rows, (sums, counts) = members[node], tables.pop(node)
-        goes = bins[rows, features[f]] <= b
+        goes = columns[features[f]][rows] <= b
         parts = [rows[goes], rows[~goes]]
         feature[node], threshold[node], left[node], right[node] = int(features[f]), float(edges[b]), len(feature), len(feature) + 1
         small = int(len(parts[1]) < len(parts[0]))
@@ -124,10 +143,10 @@ def grow_model(bins: np.ndarray, y: np.ndarray, point: TreePoint, edges: np.ndar
     predicted = np.full(len(y), y.mean())
     yield Tree(*flat, np.array([y.mean()]))
     random, width = np.random.default_rng(seed), bins.shape[1]
-    taken = max(1, round(point.feature_fraction * width))
+    taken, columns = max(1, round(point.feature_fraction * width)), np.ascontiguousarray(bins.T)
     for _ in range(point.n_estimators):
         features = np.sort(random.choice(width, taken, replace=False))
-        tree, output = grow_tree(bins, y - predicted, features, edges, point.num_leaves, point.learning_rate)
+        tree, output = grow_tree(bins, y - predicted, features, edges, point.num_leaves, point.learning_rate, columns=columns)
         predicted += output
         yield tree
 
@@ -147,8 +166,9 @@ def fit_trees(
     )
     for r in rows.groupBy("_g").count().where(F.col("count") > cap).limit(1).collect():
         raise ValueError(f"group {r['_g']} has {r['count']} rows, more than the cap of {cap}")
-    found = exact_quantiles(rows, [], "_y", [k / BINS for k in range(1, BINS)]).first()
-    edges = np.unique(found["quantiles"]) if found else np.zeros(0)
+    # the sample is bounded by the cap, so one aggregate holds its values; it is null without rows
+    found = rows.agg(F.percentile("_y", [k / BINS for k in range(1, BINS)])).first()[0]
+    edges = np.unique(found) if found else np.zeros(0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +195,8 @@ def fit_trees(
             columns=["model", "tree", "feature", "threshold", "left", "right", "value"],
         )
 
-    placed = dealt.repartition(len(points), "_m") if len(points) > 1 else dealt
+    # a model to a task: by a hash of their numbers some tasks would hold several models and others none
+    placed = dealt.repartitionById(len(points), F.col("_m")) if len(points) > 1 else dealt
     return materialize(placed.groupBy("_m").applyInPandas(fit, TREES))
 
 

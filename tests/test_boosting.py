@@ -72,6 +72,25 @@ def test_many_models_and_prefixes(spark):
     assert all((a.threshold == b.threshold).all() and (a.value == b.value).all() for m, n in zip(models, again) for a, b in zip(m, n))
 
 
+def test_every_model_has_a_task_of_its_own(spark):
+    _, _, frame = data(spark)
+    table = boosting.fit_trees(frame, [TreePoint(4, 0.3, 2, 1.0, i % 2) for i in range(24)], "fold")
+    files = table.groupBy(F.input_file_name()).agg(F.count_distinct("model").alias("models")).collect()
+    assert [r["models"] for r in files] == [1] * 24
+
+
+def test_tiles_do_not_change_a_tree(spark, monkeypatch):
+    x, y, _ = data(spark)
+    edges = np.unique(np.quantile(y, np.arange(1, 255) / 255))
+    bins = np.searchsorted(edges, x).astype(np.uint8)
+    trees = []
+    for tile in (1, 1000, 1 << 20):
+        monkeypatch.setattr(boosting, "TILE", tile)
+        trees.append(boosting.grow_tree(bins, y - y.mean(), np.array([0, 1, 3]), edges, 6, 1.0))
+    for tree, output in trees[1:]:
+        assert (tree.feature == trees[0][0].feature).all() and (tree.value == trees[0][0].value).all() and (output == trees[0][1]).all()
+
+
 def test_odd_rows(spark):
     _, _, frame = data(spark, 60)
     point = [TreePoint(4, 0.3, 3, 1.0)]
