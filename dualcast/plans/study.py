@@ -83,7 +83,8 @@ class Forecasters:
     def __call__(self, rows: DataFrame, window) -> DataFrame:
         frame, full = full_frame(window, self.window)
         scale = lambda x: (x - F.col("median")) / F.col("scale_used")
-        lags = F.when(full, F.transform(F.reverse(F.collect_list("value").over(frame)), scale))
+        # rows of the base split are look-back only: nothing reads their forecasts
+        lags = F.when(full & (F.col("split") != "base_train"), F.transform(F.reverse(F.collect_list("value").over(frame)), scale))
         weights = F.array(*[F.lit(c) for c in self.ridge.coefficients])
         products = F.zip_with(F.slice("_lags", 1, self.ridge.window), weights, lambda x, w: x * w)
         linear = F.aggregate(products, F.lit(self.ridge.intercept), lambda total, x: total + x)
