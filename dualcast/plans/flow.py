@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from dualcast.operators.blocks import attach, over_history
 from dualcast.operators.ranking import exact_quantiles
 from dualcast.plans.fixtures import daily_series, hourly_series, supplier_series
 from dualcast.session import materialize, scratch  # noqa: F401
-from dualcast.settings import DAILY, HOURLY, KEYS, SUPPLIERS, TARGET, Family
+from dualcast.settings import DAILY, HOURLY, KEYS, SPLITS, SUPPLIERS, TARGET, Family
 
 LAGS = 16
 SCORE_LAGS = 4
@@ -80,17 +82,24 @@ def naive_forecasts(family: Family):
 
 
 def segment_table(
-    split: DataFrame, table: DataFrame, family: Family, lags: int = LAGS, forecasters=None, look_back: int = 0
+    split: DataFrame, table: DataFrame, family: Family, lags: int = LAGS, forecasters=None, look_back: int = 0,
+    splits: Sequence[str] = SPLITS[1:],
 ) -> DataFrame:
-    """Forecasts, residuals and all router features for every row after the base split.
+    """Forecasts, residuals and all router features for every row of ``splits``, by default all after the base split.
 
     ``forecasters(rows, window)`` adds both predictions from at most ``look_back`` earlier rows; without it they
-    are ``naive_forecasts``. All look-backs share one set of time blocks, so the panel is shuffled once.
+    are ``naive_forecasts``. All look-backs share one set of time blocks, so the panel is shuffled once. Only the wanted
+    rows and those that their look-backs reach are sorted and run through the windows.
     """
     forecasters = forecasters or naive_forecasts(family)
+    back = max(family.long_context, look_back) + 1 + lags
+    wanted = F.col("split").isin(*splits)
+    spans = split.where(wanted).groupBy(*KEYS).agg(F.min("time_index").alias("_first"), F.max("time_index").alias("_last"))
+    table = table.join(spans, list(KEYS))
 
     def build(blocked, window):
-        rows = forecasters(attach(blocked, table, KEYS), window)
+        reached = F.col("time_index").between(F.col("_first") - back, F.col("_last"))
+        rows = forecasters(attach(blocked, table, KEYS).where(reached).drop("_first", "_last"), window)
         rows = rows.withColumns({"y_true": F.col("value"), "naive_prediction": F.lag("value", family.season).over(window)})
         rows = features.context_features(rows, family.season, family.long_context)
         rows = forecast.forecast_table(features.disagreement_features(rows))
@@ -98,7 +107,7 @@ def segment_table(
         rows = rows.withColumns({s: F.when(held, F.col(s)) for s in ("simple_residual", "complex_residual")})
         return features.residual_lags(rows, lags)
 
-    rows = over_history(split, max(family.long_context, look_back) + 1 + lags, build).where(F.col("split") != "base_train")
+    rows = over_history(split, back, build).where(wanted)
     return features.routing_labels(features.calendar_features(rows, family.calendar))
 
 

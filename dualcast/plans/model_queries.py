@@ -341,13 +341,23 @@ _fitted("f8_forest", lambda rows, names: router.fit_forest(rows, names, 4, 20, "
 def f4_sampled(spark, sf):
     """The reference-sized fit: up to 100 000 sampled rows and all features of the supplier panel."""
     names = flow.feature_names(SUPPLIERS)
-    rows = flow.scored_table(spark, sf, SUPPLIERS)
+    losses = ["y_true", "simple_prediction", "complex_prediction", "mase_denominator", "loss_advantage"]
+
+    def build():
+        split = flow.stored_split(spark, sf, SUPPLIERS)
+        rows = flow.segment_table(split, flow.base_table(split, SUPPLIERS), SUPPLIERS, splits=("router_train", "calibration"))
+        return features.drop_warmup(rows, flow.LAGS).select(*KEYS, "time_index", "split", *losses, *names)
+
+    rows = flow.stage(spark, sf, f"sampled/{SUPPLIERS.dataset_id}", flow._source(SUPPLIERS), build)
     training = rows.where(F.col("split") == "router_train")
     scaler = router.fit_standardizer(training, names)
-    sample = prepare.systematic_sample(training.select(*KEYS, "time_index", "loss_advantage", *names), SAMPLE_CAP)
+    # positions are found on the keys alone; the features of the rows kept follow by a join
+    places = prepare.systematic_sample(training.select(*KEYS, "time_index"), SAMPLE_CAP).select(*KEYS, "time_index")
+    sample = training.join(F.broadcast(places), [*KEYS, "time_index"])  # at most SAMPLE_CAP keys
     sample = router.soft_targets(router.standardize(sample, scaler), 0.5)
     model = router.fit_soft_logistic(sample.select("soft_target", *names), names, 1.0)
     scored = router.score(router.standardize(rows.where(F.col("split") == "calibration"), scaler), model)
+    scored = materialize(scored.select(*KEYS, *losses[:-1], "score"))
     return rounded(router.evaluate_score(scored), "threshold constrained_scaled_loss pooled_scaled_loss simple_coverage coverage_violation", 4)
 
 

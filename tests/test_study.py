@@ -37,6 +37,26 @@ def test_forecasters_row_by_row(spark, sf_dir):
     assert first and all(r["simple_residual_lag_1"] is None for r in first)  # no residual of a row that was fitted on
 
 
+def test_windows_take_only_the_rows_that_are_reached(spark, sf_dir):
+    split, family, seen = flow.stored_split(spark, sf_dir), study.HOURLY, []
+
+    def forecasters(rows, window):
+        seen.append(rows)
+        return flow.naive_forecasts(family)(rows, window)
+
+    table = flow.base_table(split, family)
+    some = flow.segment_table(split, table, family, forecasters=forecasters, splits=("calibration",))
+    whole = flow.segment_table(split, table, family, forecasters=forecasters).where("split = 'calibration'")
+    columns = ["time_index", "loss_advantage", *flow.feature_names(family)]
+    one, two = (d.orderBy("series_id", "time_index").select(columns).toPandas().to_numpy(float) for d in (some, whole))
+    assert len(one) == split.where("split = 'calibration'").count()
+    np.testing.assert_allclose(one, two, rtol=1e-9, atol=1e-6)
+    back = family.long_context + 1 + flow.LAGS
+    for rows, wanted in zip(seen, (["calibration"], ["router_train", "calibration", "test"])):
+        taken = rows.where("not _context").count()
+        assert taken == split.where(F.col("split").isin(wanted)).count() + back * split.select("series_id").distinct().count()
+
+
 @pytest.fixture(scope="module")
 def tables(spark, sf_dir):
     test = study.fitted_test(spark, sf_dir)
