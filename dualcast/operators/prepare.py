@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dualcast.operators.blocks import attach, full_frame, over_history, rows_so_far
 from dualcast.operators.ranking import exact_quantiles, running_totals
+from dualcast.session import materialize
 from dualcast.settings import FOLDS, KEYS, SMALL_SCALE, SPLIT_ORDER, SPLIT_PERCENT, SPLITS
 
 
@@ -39,8 +40,13 @@ def chronological_split(
     keys: Sequence[str] = KEYS,
     mode: str = "exact",
     names: Sequence[str] = SPLITS,
+    stored: bool = False,
 ) -> DataFrame:
-    """Label every row with its split; boundaries are per series, an empty split is an error."""
+    """Label every row with its split; boundaries are per series, an empty split is an error.
+
+    With ``stored`` the bounds are written first: a table that is then seen to be small is sent to the rows, which are
+    not shuffled for the join. That reads ``df`` twice, so it should be a stored table itself.
+    """
     if sum(percent) != 100:
         raise ValueError("the split percentages must add up to 100")
     n = F.col("n").cast("bigint")
@@ -54,6 +60,7 @@ def chronological_split(
         F.when(empty, F.raise_error(F.concat_ws(" ", F.lit("empty split in"), *keys)).cast("bigint")).otherwise(n).alias("n"),
         *[cut.alias(f"_cut{i}") for i, cut in enumerate(cuts)],
     )
+    lengths = materialize(lengths) if stored else lengths
     label = F.lit(names[-1])
     for i in reversed(range(len(cuts))):
         label = F.when(F.col("time_index") < F.col(f"_cut{i}"), names[i]).otherwise(label)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +50,10 @@ def panel(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFram
     return build(spark, sf_dir)
 
 
+def stored_panel(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFrame:
+    return stage(spark, sf_dir, f"panel/{family.dataset_id}", _source(family), lambda: panel(spark, sf_dir, family))
+
+
 def split_panel(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFrame:
     return prepare.chronological_split(panel(spark, sf_dir, family))
 
@@ -81,6 +87,25 @@ def naive_forecasts(family: Family):
     return add
 
 
+def reach(family: Family, lags: int = LAGS, look_back: int = 0) -> int:
+    """How many earlier rows the features of a row depend on."""
+    return max(family.long_context, look_back) + 1 + lags
+
+
+def rows_behind(split: DataFrame, places: DataFrame, back: int, name: str) -> DataFrame:
+    """The rows at ``places`` (keys and time index, few enough to broadcast) as the split ``name``, and the ``back`` rows before each."""
+    size = back + 1
+    near = F.explode(F.sequence(F.expr(f"(_at - {back}) div {size}"), F.expr(f"_at div {size}"))).alias("_near")
+    wanted = places.select(*KEYS, F.col("time_index").alias("_at")).select(*KEYS, "_at", near)  # two stretches of time at most
+    rows = split.withColumn("_near", F.expr(f"time_index div {size}"))
+    same = [rows[k] == wanted[k] for k in (*KEYS, "_near")]
+    inside = wanted["_at"].between(rows["time_index"], rows["time_index"] + back)
+    rows = rows.join(F.broadcast(wanted), reduce(and_, [*same, inside]), "left_semi").drop("_near")
+    at = F.broadcast(places.select(*KEYS, "time_index", F.lit(True).alias("_wanted")))
+    label = F.when(F.col("_wanted"), name).otherwise(F.col("split"))
+    return rows.join(at, [*KEYS, "time_index"], "left").withColumn("split", label).select(*split.columns)
+
+
 def segment_table(
     split: DataFrame, table: DataFrame, family: Family, lags: int = LAGS, forecasters=None, look_back: int = 0,
     splits: Sequence[str] = SPLITS[1:],
@@ -92,14 +117,15 @@ def segment_table(
     rows and those that their look-backs reach are sorted and run through the windows.
     """
     forecasters = forecasters or naive_forecasts(family)
-    back = max(family.long_context, look_back) + 1 + lags
+    back = reach(family, lags, look_back)
     wanted = F.col("split").isin(*splits)
-    spans = split.where(wanted).groupBy(*KEYS).agg(F.min("time_index").alias("_first"), F.max("time_index").alias("_last"))
-    table = table.join(spans, list(KEYS))
+    # stored, so that a small one is known to be small beforehand: the rows out of reach are then not shuffled either
+    spans = materialize(split.where(wanted).groupBy(*KEYS).agg(F.min("time_index").alias("_first"), F.max("time_index").alias("_last")))
+    reached = F.col("time_index").between(F.col("_first") - back, F.col("_last"))
+    split = attach(split, spans, KEYS, rows="_last").where(reached).drop("_first", "_last")
 
     def build(blocked, window):
-        reached = F.col("time_index").between(F.col("_first") - back, F.col("_last"))
-        rows = forecasters(attach(blocked, table, KEYS).where(reached).drop("_first", "_last"), window)
+        rows = forecasters(attach(blocked, table, KEYS), window)
         rows = rows.withColumns({"y_true": F.col("value"), "naive_prediction": F.lag("value", family.season).over(window)})
         rows = features.context_features(rows, family.season, family.long_context)
         rows = forecast.forecast_table(features.disagreement_features(rows))

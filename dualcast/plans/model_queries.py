@@ -343,20 +343,23 @@ def f4_sampled(spark, sf):
     names = flow.feature_names(SUPPLIERS)
     losses = ["y_true", "simple_prediction", "complex_prediction", "mase_denominator", "loss_advantage"]
 
-    def build():
-        split = flow.stored_split(spark, sf, SUPPLIERS)
-        rows = flow.segment_table(split, flow.base_table(split, SUPPLIERS), SUPPLIERS, splits=("router_train", "calibration"))
-        return features.drop_warmup(rows, flow.LAGS).select(*KEYS, "time_index", "split", *losses, *names)
+    split = prepare.chronological_split(flow.stored_panel(spark, sf, SUPPLIERS), stored=True)
+    series = materialize(flow.base_table(split, SUPPLIERS))
 
-    rows = flow.stage(spark, sf, f"sampled/{SUPPLIERS.dataset_id}", flow._source(SUPPLIERS), build)
-    training = rows.where(F.col("split") == "router_train")
+    def segment(name, rows=split):
+        """The features of one split: made where they are read, as they take many times the room of the panel."""
+        rows = flow.segment_table(rows, series, SUPPLIERS, splits=(name,))
+        return features.drop_warmup(rows, flow.LAGS).select(*KEYS, "time_index", *losses, *names)
+
+    training = segment("router_train")
     scaler = router.fit_standardizer(training, names)
-    # positions are found on the keys alone; the features of the rows kept follow by a join
-    places = prepare.systematic_sample(training.select(*KEYS, "time_index"), SAMPLE_CAP).select(*KEYS, "time_index")
-    sample = training.join(F.broadcast(places), [*KEYS, "time_index"])  # at most SAMPLE_CAP keys
-    sample = router.soft_targets(router.standardize(sample, scaler), 0.5)
+    # positions are found on the keys alone; the features of the rows kept follow from the rows behind them
+    keys = materialize(training.select(*KEYS, "time_index"))
+    places = materialize(prepare.systematic_sample(keys, SAMPLE_CAP).select(*KEYS, "time_index"))  # at most SAMPLE_CAP keys
+    behind = flow.rows_behind(split, places, flow.reach(SUPPLIERS), "sampled")
+    sample = router.soft_targets(router.standardize(segment("sampled", behind), scaler), 0.5)
     model = router.fit_soft_logistic(sample.select("soft_target", *names), names, 1.0)
-    scored = router.score(router.standardize(rows.where(F.col("split") == "calibration"), scaler), model)
+    scored = router.score(router.standardize(segment("calibration"), scaler), model)
     scored = materialize(scored.select(*KEYS, *losses[:-1], "score"))
     return rounded(router.evaluate_score(scored), "threshold constrained_scaled_loss pooled_scaled_loss simple_coverage coverage_violation", 4)
 

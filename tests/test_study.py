@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dualcast.operators import evaluate, prepare
 from dualcast.operators.boosting import TreePoint
 from dualcast.plans import flow, study
+from dualcast.session import materialize
 from dualcast.settings import KEYS, TARGET
 
 ROUTED = {m: ("static_router" if m == study.SOFT_ROUTER else m) for m in study.ROUTERS}
@@ -57,6 +58,38 @@ def test_windows_take_only_the_rows_that_are_reached(spark, sf_dir):
         assert taken == split.where(F.col("split").isin(wanted)).count() + back * split.select("series_id").distinct().count()
 
 
+def test_rows_out_of_reach_are_not_shuffled(spark, sf_dir):
+    """Bounds and spans are seen to be small, so that a split and the rows it reaches are found without a shuffle of the panel."""
+    family, seen = study.HOURLY, []
+    split = prepare.chronological_split(flow.stored_panel(spark, sf_dir, family), stored=True)
+    assert split.orderBy("series_id", "time_index").collect() == flow.stored_split(spark, sf_dir).orderBy("series_id", "time_index").collect()
+
+    def forecasters(rows, window):
+        seen.append(rows)
+        return flow.naive_forecasts(family)(rows, window)
+
+    flow.segment_table(split, materialize(flow.base_table(split, family)), family, forecasters=forecasters, splits=("calibration",))
+    for rows in (split, seen[0]):
+        assert "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_of_a_few_rows(spark, sf_dir):
+    """Rows made with only the rows behind them have the features that they have in the whole panel."""
+    split, family = flow.stored_split(spark, sf_dir), study.HOURLY
+    table = flow.base_table(split, family)
+    places = split.where("split = 'calibration' AND time_index % 17 < 2").select(*KEYS, "time_index")
+    back = flow.reach(family)
+    behind = flow.rows_behind(split, places, back, "sampled")
+    some, whole = (flow.segment_table(rows, table, family, splits=(name,)) for rows, name in ((behind, "sampled"), (split, "calibration")))
+    columns = ["time_index", "loss_advantage", *flow.feature_names(family)]
+    one = some.orderBy("series_id", "time_index").select(columns).toPandas().to_numpy(float)
+    two = whole.where("time_index % 17 < 2").orderBy("series_id", "time_index").select(columns).toPandas().to_numpy(float)
+    assert len(one) == places.count() > 0
+    np.testing.assert_allclose(one, two, rtol=1e-9, atol=1e-6)
+    far = split.where("split = 'calibration'").groupBy(*KEYS).agg(F.max("time_index").alias("time_index"))
+    assert flow.rows_behind(split, far, back, "sampled").count() == (back + 1) * far.count()
+
+
 @pytest.fixture(scope="module")
 def tables(spark, sf_dir):
     test = study.fitted_test(spark, sf_dir)
