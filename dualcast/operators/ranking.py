@@ -19,6 +19,8 @@ from dualcast.session import materialize
 
 #: Groups of at most so many distinct values are sorted by themselves.
 GROUP_VALUES = 100_000
+#: And for at most so many probabilities.
+PROBABILITIES = 64
 
 
 def _sorted_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -77,7 +79,8 @@ def _ranked_quantiles(values: DataFrame, keys: list[str], probabilities: Sequenc
     """Two order statistics per probability, from the sorted distinct values."""
     distinct = materialize(values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
     largest = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    pick = _sorted_globally if (largest or 0) > GROUP_VALUES else _sorted_by_group
+    # the plan for small groups has two conditions for each probability
+    pick = _sorted_globally if (largest or 0) > GROUP_VALUES or len(probabilities) > PROBABILITIES else _sorted_by_group
     return pick(distinct, keys, probabilities, name)
 
 

@@ -27,7 +27,7 @@ from dualcast.operators.tuning import fold_rows
 from dualcast.plans import flow
 from dualcast.session import materialize
 from dualcast.settings import (
-    BASELINE_C_GRID, C_GRID, ETAS, FOLDS, HOURLY, KEYS, RESIDUAL_LAGS, RIDGE_ALPHAS, SAMPLE_CAP, TARGET, TEMPERATURES, TOLERANCE, TREE_GRID, Family,
+    BASELINE_C_GRID, C_GRID, ETAS, FOLDS, HOURLY, KEYS, RESIDUAL_LAGS, RIDGE_ALPHAS, TARGET, TEMPERATURES, TOLERANCE, TREE_GRID, Family,
 )
 
 SOFT_ROUTER, FOREST, PAST = "soft_router", "hard_forest", "past_loss_router"
@@ -54,18 +54,17 @@ def ridge_details(split: DataFrame, family: Family) -> DataFrame:
     return forecast.ridge_grid(base, scalers, folds, family.windows, RIDGE_ALPHAS)
 
 
-def tree_details(split: DataFrame, family: Family, window: int, grid: dict[str, Sequence], cap: int = SAMPLE_CAP) -> DataFrame:
-    """Grid details of the trees on the lags of one window; at most ``cap`` evenly spread rows of a fold are fitted on."""
+def tree_details(split: DataFrame, family: Family, window: int, grid: dict[str, Sequence]) -> DataFrame:
+    """Grid details of the trees on the lags of one window, fitted on all training rows of a fold."""
     base, folds, scalers = base_folds(split, family)
     bounds = folds.select(*KEYS, "fold", "train_count", "validation_start", "validation_end", F.col("base_length").alias("n"))
     sheet = bounds.join(scalers.select(*KEYS, "fold", "median", "scale_used", "rmsse_denominator"), [*KEYS, "fold"])
     scale = lambda x: (x - F.col("median")) / F.col("scale_used")
     rows = attach(prepare.lag_windows(base.select(*KEYS, "time_index", "value"), window), sheet, KEYS)
     rows = rows.withColumn("z", scale(F.col("value"))).withColumn("lags", F.transform("lags", scale))
-    training = materialize(rows.where(F.col("time_index") < F.col("train_count")).select(*KEYS, "time_index", "fold", "lags", "z"))
-    sampled = [prepare.systematic_sample(training.where(F.col("fold") == k), cap).select("fold", "lags", "z") for k in range(1, FOLDS + 1)]
+    training = rows.where(F.col("time_index") < F.col("train_count")).select("fold", "lags", "z")
     validation = rows.where(F.col("time_index").between(F.col("validation_start"), F.col("validation_end")))
-    return tree_grid(reduce(DataFrame.unionByName, sampled), validation, grid, range(1, FOLDS + 1), cap=cap)
+    return tree_grid(training, validation, grid, range(1, FOLDS + 1))
 
 
 def chosen(details: DataFrame, parameters: Sequence[str]):
@@ -93,15 +92,14 @@ class Forecasters:
         return rows.withColumns({"simple_prediction": raw(linear), "complex_prediction": raw(F.col("_trees")[0])}).drop("_lags", "_trees")
 
 
-def fit_forecasters(split: DataFrame, ridge: tuple[int, float], trees: TreePoint, window: int, cap: int = SAMPLE_CAP) -> Forecasters:
-    """Both models on the base split, the trees on at most ``cap`` evenly spread rows of it."""
+def fit_forecasters(split: DataFrame, ridge: tuple[int, float], trees: TreePoint, window: int) -> Forecasters:
+    """Both models on all rows of the base split."""
     base = split.where(F.col("split") == "base_train")
     lengths = prepare.series_lengths(base)
     scaler = prepare.fit_robust_scaler(split).join(lengths, list(KEYS))
     rows = materialize(prepare.scale_by(base, scaler, length="n").select(*KEYS, "time_index", "z"))
     linear = forecast.fit_ridge(rows.join(lengths, list(KEYS)), *ridge)
-    lagged = materialize(prepare.lag_windows(rows, window, "z"))
-    model = load_trees(fit_trees(prepare.systematic_sample(lagged, cap), [replace(trees, group=0)], cap=cap), 1)[0]
+    model = load_trees(fit_trees(prepare.lag_windows(rows, window, "z"), [replace(trees, group=0)]), 1)[0]
     return Forecasters(linear, tuple(model), max(window, ridge[0]))
 
 
@@ -171,10 +169,11 @@ def candidates(names: Sequence[str], c_grid: Sequence[float] = BASELINE_C_GRID,
     return out
 
 
-def _fit_rows(training: DataFrame, names: Sequence[str], temperatures: Sequence[float], cap: int, group: int):
-    """The rows that one group's fits see, and the scaler over all its rows."""
+def _fit_rows(training: DataFrame, names: Sequence[str], temperatures: Sequence[float], cap: int | None, group: int):
+    """The rows that one group's fits see (all, or at most ``cap`` evenly spread ones), and the scaler over all its rows."""
     scaler = router.fit_standardizer(training, names)
-    sample = prepare.systematic_sample(training, cap).select("loss_advantage", "complex_better", *names)
+    sample = training if cap is None else prepare.systematic_sample(training, cap)
+    sample = sample.select("loss_advantage", "complex_better", *names)
     share = {r["label"]: r["weight"] for r in router.class_weights(sample).collect()}
     weight = F.when(F.col("complex_better") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
     return scaler, sample.withColumns({
@@ -183,7 +182,7 @@ def _fit_rows(training: DataFrame, names: Sequence[str], temperatures: Sequence[
     })
 
 
-def fit_candidates(groups: dict[int, DataFrame], wanted: dict[int, list[Candidate]], names: Sequence[str], cap: int = SAMPLE_CAP) -> list[Fit]:
+def fit_candidates(groups: dict[int, DataFrame], wanted: dict[int, list[Candidate]], names: Sequence[str], cap: int | None = None) -> list[Fit]:
     """Fits of all candidates of all groups, in order, by shared passes over the groups' rows."""
     temperatures = sorted({c.temperature for every in wanted.values() for c in every if c.temperature is not None})
     points, samples = [], []
@@ -199,7 +198,7 @@ def fit_candidates(groups: dict[int, DataFrame], wanted: dict[int, list[Candidat
     return fit_many(reduce(DataFrame.unionByName, samples), points, "_group")
 
 
-def router_details(rows: DataFrame, folds: DataFrame, every: Sequence[Candidate], names: Sequence[str], cap: int = SAMPLE_CAP, target: float = TARGET) -> DataFrame:
+def router_details(rows: DataFrame, folds: DataFrame, every: Sequence[Candidate], names: Sequence[str], cap: int | None = None, target: float = TARGET) -> DataFrame:
     """One row per fold and candidate: its worth on the fold's validation block and whether its fit is optimal.
 
     The past-loss score is a candidate for each of its lags; it has no fit.
@@ -243,12 +242,14 @@ def router_rows(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> tu
     return rows, prepare.router_fold_schedule(rows, family.router_unit, family.router_cap, family.router_reserve)
 
 
-def router_table(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -> DataFrame:
-    """The details of all router grids, stored once."""
+def router_table(spark: SparkSession, sf_dir: str, family: Family = HOURLY, cap: int | None = None) -> DataFrame:
+    """The details of all router grids, stored once; with ``cap``, of fits on at most so many rows of a fold."""
     names = flow.feature_names(family)
+    if cap is not None and router_rows(spark, sf_dir, family)[0].count() <= cap:
+        cap = None  # no fold has more rows than the split
     return flow.stage(
-        spark, sf_dir, f"routers/{family.dataset_id}", flow._source(family),
-        lambda: router_details(*router_rows(spark, sf_dir, family), candidates(names), names),
+        spark, sf_dir, f"routers/{family.dataset_id}" + (f"/{cap}" if cap else ""), flow._source(family),
+        lambda: router_details(*router_rows(spark, sf_dir, family), candidates(names), names, cap),
     )
 
 
@@ -273,7 +274,7 @@ def scored_segments(spark: SparkSession, sf_dir: str, family: Family = HOURLY) -
         scored = scored.withColumns({f"score_{c.method}": F.col("scores")[i] for i, c in enumerate(best)}).drop("scores")
         scored = router.past_loss_score(scored, won[PAST]["residual_lag"], f"score_{PAST}")
         depth, leaf, share = FOREST_SETTING
-        forest = router.fit_forest(prepare.systematic_sample(training, SAMPLE_CAP), names, depth, leaf, share)
+        forest = router.fit_forest(training, names, depth, leaf, share)
         return router.score_forest(scored, forest, names, f"score_{FOREST}")
 
     return flow.stage(spark, sf_dir, f"routed-scores/{family.dataset_id}", flow._source(family), build)

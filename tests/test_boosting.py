@@ -104,3 +104,23 @@ def test_odd_rows(spark):
     assert all(len(t.feature) == 1 for t in same[0])  # nothing to gain
     with pytest.raises(ValueError, match="more than the cap"):
         boosting.fit_trees(frame, point, cap=10)
+
+
+def test_rows_that_no_task_holds_give_the_same_models(spark, monkeypatch):
+    """A group beyond the bound of a task is not cut: all its rows are fitted on, with the trees that one task grows."""
+    x, y, frame = data(spark, 1200, seed=5)
+    frame = frame.withColumn("fold", (F.col("lags")[0] > 1).cast("int")).repartition(5)  # one large group, one small
+    points = [TreePoint(8, 0.3, 5, 1.0, 0), TreePoint(5, 0.2, 3, 0.5, 0), TreePoint(4, 0.3, 3, 1.0, 1)]
+    monkeypatch.setattr(boosting, "TREES_BEHIND", 2)
+    monkeypatch.setattr(boosting, "UPDATES", 2)
+    monkeypatch.setattr(boosting, "NODES", 12)
+    small = frame.where("fold = 1").count()
+    one = boosting.load_trees(boosting.fit_trees(frame, points, "fold"), 3)
+    two = boosting.load_trees(boosting.fit_trees(frame, points, "fold", task_rows=small), 3)
+    assert [len(m) for m in two] == [6, 4, 4]
+    for a, b in zip([t for m in one for t in m], [t for m in two for t in m]):
+        assert (a.feature == b.feature).all() and (a.left == b.left).all() and (a.right == b.right).all()
+        np.testing.assert_allclose(a.threshold, b.threshold, rtol=1e-12)
+        np.testing.assert_allclose(a.value, b.value, rtol=1e-9, atol=1e-12)
+    same = boosting.load_trees(boosting.fit_trees(frame.withColumn("z", F.lit(2.0)), points[:2], "fold", task_rows=10), 2)
+    assert all(len(t.feature) == 1 for m in same for t in m)  # nothing to gain

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dualcast.operators import evaluate, prepare
+from dualcast.operators import boosting, evaluate, prepare
 from dualcast.operators.boosting import TreePoint
 from dualcast.plans import flow, study
 from dualcast.session import materialize
@@ -90,6 +90,28 @@ def test_features_of_a_few_rows(spark, sf_dir):
     assert flow.rows_behind(split, far, back, "sampled").count() == (back + 1) * far.count()
 
 
+def test_no_fit_of_the_study_is_on_a_sample(spark, sf_dir, monkeypatch):
+    """Trees and routers see all rows; folds beyond the bound of a task give what folds within it give."""
+
+    def cut(*_, **__):
+        raise AssertionError("a sample was taken")
+
+    monkeypatch.setattr(prepare, "systematic_sample", cut)
+    split = flow.stored_split(spark, sf_dir)
+    grid = {"num_leaves": (4,), "learning_rate": (0.1,), "n_estimators": (1, 2), "feature_fraction": (0.8,)}
+    by = ["fold", "n_estimators"]
+    one = study.tree_details(split, study.HOURLY, 24, grid).orderBy(by).collect()
+    monkeypatch.setattr(boosting, "TASK_ROWS", 1000)
+    two = study.tree_details(split, study.HOURLY, 24, grid).orderBy(by).collect()
+    assert len(one) == len(two) == 6
+    for a, b in zip(one, two):
+        assert a["mean_series_rmsse"] == pytest.approx(b["mean_series_rmsse"], rel=1e-9) and a["series_count"] == b["series_count"]
+    rows = flow.scored_table(spark, sf_dir).where("split = 'router_train'")
+    name = flow.feature_names()[0]
+    fit = study.fit_candidates({0: rows}, {0: [study.Candidate("hard_logistic", (name,), 1.0)]}, [name])[0]
+    assert fit.rows == rows.count()
+
+
 @pytest.fixture(scope="module")
 def tables(spark, sf_dir):
     test = study.fitted_test(spark, sf_dir)
